@@ -1,0 +1,32 @@
+"""The queries of the training-data operators, over whole tables with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestack.session import table
+
+from . import canonical
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose texts differ as stored but look the same."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = canonical.same_form_pairs(canonical.text_forms(docs))
+    return pairs.select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text in the consistent form."""
+    return table(spark, sf_dir, "documents").select("doc_id", canonical.canonical_text("text").alias("form"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p8_found": p8_found, "p8_forms": p8_forms}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
