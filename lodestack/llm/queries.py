@@ -9,7 +9,44 @@ from pyspark.sql import functions as F
 
 from lodestack.session import table
 
-from . import canonical
+from . import bpe, canonical, leakage, splitting
+
+
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "result_item").select(F.lit("item").alias("record"), F.col("id").alias("record_id"), F.col("markdown").alias("text"))
+    chunks = table(spark, sf_dir, "rag_chunk").select(F.lit("chunk").alias("record"), F.col("id").alias("record_id"), F.col("content").alias("text"))
+    return items.unionByName(chunks)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every oversized item and chunk, and whether a cut has to be forced."""
+    return splitting.split_records(_oversized(spark, sf_dir)).select("record", "record_id", "cut").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized item and chunk."""
+    return splitting.split_records(_oversized(spark, sf_dir))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    return bpe.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.passages(table(spark, sf_dir, "eval_item"), "item_id", ["question", "ground_truth"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 12 consecutive words of an evaluation item."""
+    windows = leakage.leaked_windows(table(spark, sf_dir, "documents"), _held_out(spark, sf_dir))
+    return windows.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of an evaluation item each document holds, with one substituted word allowed per window."""
+    windows = leakage.leaked_windows(table(spark, sf_dir, "documents"), _held_out(spark, sf_dir), substitutions=1)
+    return leakage.leak_report(windows).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +62,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_forms": p8_forms}
 
 
 def oracle_sql() -> dict[str, str]:
