@@ -9,7 +9,20 @@ from pyspark.sql import functions as F
 
 from lodestack.session import table
 
-from . import bpe, canonical, leakage, splitting
+from . import bpe, canonical, leakage, neardup, similar, splitting
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of which one is among the other's 5 most similar, at a cosine of at least 0.8."""
+    pairs = similar.similar_pairs(similar.nearest(table(spark, sf_dir, "rag_chunk")))
+    return pairs.withColumnsRenamed({"id_a": "chunk_id_a", "id_b": "chunk_id_b"})
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and file names that are the same up to small edits."""
+    contents = neardup.similar_contents(table(spark, sf_dir, "rag_chunk"))
+    names = neardup.similar_names(table(spark, sf_dir, "rag_document"))
+    return contents.select(F.lit("content").alias("field"), "id_a", "id_b").unionByName(names.select(F.lit("filename").alias("field"), "id_a", "id_b"))
 
 
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +75,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_forms": p8_forms}
 
 
 def oracle_sql() -> dict[str, str]:
