@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.session import table
 
-from . import bpe, canonical, leakage, neardup, similar, splitting
+from . import bpe, canonical, leakage, neardup, scans, similar, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumnsRenamed({"id_a": "chunk_id_a", "id_b": "chunk_id_b"})
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case of scanning noise in the items."""
+    return scans.found(table(spark, sf_dir, "result_item"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and file names that are the same up to small edits."""
     contents = neardup.similar_contents(table(spark, sf_dir, "rag_chunk"))
@@ -75,7 +80,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_forms": p8_forms}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_forms": p8_forms}
 
 
 def oracle_sql() -> dict[str, str]:
