@@ -22,10 +22,11 @@ columns that miss in a record are null; extra columns of the input are ignored.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.session import checkpointed
@@ -35,18 +36,21 @@ MOST_PATHS = 20_000
 _LAYERS = 3
 
 
-def read_variants(df: DataFrame, text: str, value: str = "value") -> DataFrame:
-    """``df`` with the JSON values of a text column as VARIANT; strings that hold JSON are read as that JSON.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it.
 
-    Each layer is a projection of its own, so that no expression is repeated
-    inside the next one.
+    Without it each mention repeats the expression when projections are merged.
     """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def read_variant(text: Column) -> Column:
+    """The JSON object or list of a text as VARIANT, else null; strings that hold JSON are read as that JSON."""
     clean = lambda c: F.regexp_replace(c, "^[\\uFEFF\\s]+", "")
-    df = df.withColumn("__text", clean(F.col(text)))
+    layer = clean(text)
     for _ in range(_LAYERS):
-        df = df.withColumn("__text", F.when(F.col("__text").startswith('"'), clean(F.try_variant_get(F.try_parse_json("__text"), "$", "string"))).otherwise(F.col("__text")))
-    read = F.when(F.col("__text").rlike("^[{\\[]"), F.try_parse_json("__text"))
-    return df.withColumn(value, read).drop("__text")
+        layer = bound(layer, lambda t: F.when(t.startswith('"'), clean(F.try_variant_get(F.try_parse_json(t), "$", "string"))).otherwise(t))
+    return bound(layer, lambda t: F.when(t.rlike("^[{\\[]"), F.try_parse_json(t)))
 
 
 def latest(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -185,10 +189,10 @@ def shred(df: DataFrame, key: str, text: str, list_field: str = "results", root:
     bare = F.col("__json").rlike("^[\\uFEFF\\s]*\\[")
     wrapped = F.concat(F.lit('{"' + list_field + '":'), F.regexp_replace("__json", "^[\\uFEFF\\s]+", ""), F.lit("}"))
     direct = texts.filter(F.col("__json").isNotNull())
-    roots = read_variants(direct.withColumn("__json", F.when(bare, wrapped).otherwise(F.col("__json"))), "__json").drop("__json")
-    quoted = F.try_parse_json(F.concat(F.lit('{"' + list_field + '":'), F.to_json("value"), F.lit("}")))  # a bare list inside a string
-    is_list = F.schema_of_variant("value").startswith("ARRAY")
-    roots = checkpointed(roots.withColumn("value", F.when(is_list, quoted).otherwise(F.col("value")))).filter(F.col("value").isNotNull())
+    roots = direct.select("record", read_variant(F.when(bare, wrapped).otherwise(F.col("__json"))).alias("value"))
+    quoted = lambda v: F.try_parse_json(F.concat(F.lit('{"' + list_field + '":'), F.to_json(v), F.lit("}")))
+    inside = bound(F.col("value"), lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), quoted(v)).otherwise(v))  # a bare list inside a string
+    roots = checkpointed(roots.select("record", inside.alias("value"))).filter(F.col("value").isNotNull())
     if plan is None:
         found = schema_paths(roots).limit(MOST_PATHS + 1).collect()
         if len(found) > MOST_PATHS:

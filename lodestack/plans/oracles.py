@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from . import catalog, evaluation, ingest, retrieval, terms
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict = {}
+    for module in (retrieval, ingest, terms, evaluation, catalog):
+        found |= module.oracle_sql()
+    return found

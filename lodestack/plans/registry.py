@@ -5,54 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestack.operators import nested
-from lodestack.session import table
-
-
-def _parse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    documents = table(spark, sf_dir, "rag_document")
-    return nested.shred(nested.latest(documents, "id", "updated_at", "parse_json"), "id", "parse_json")
-
-
-def _whole(column: str):
-    return F.expr(f"try_cast(`{column}` AS double)").cast("int")
-
-
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items, provenance entries and pages of the latest parse of every document."""
-    tables = _parse_tables(spark, sf_dir)
-    none = F.lit(-1)
-    rows = [tables["document"].limit(0).select(F.col("record").alias("doc_id"), F.lit("").alias("node"), none.alias("item_no"), none.alias("sub_no"), none.alias("page_no"))]
-    if "results" in tables:
-        items = tables["results"].filter(F.col("parent") == "document")
-        rows.append(items.select(F.col("record").alias("doc_id"), F.lit("item").alias("node"), F.col("pos").alias("item_no"), none.alias("sub_no"), none.alias("page_no")))
-    if "prov" in tables:
-        entries = tables["prov"].filter(F.col("parent") == "results")
-        item_no = F.element_at(F.split("parent_id", "/"), -1).cast("int")
-        page = F.coalesce(_whole("page_no"), none) if "page_no" in entries.columns else none
-        rows.append(entries.select(F.col("record").alias("doc_id"), F.lit("prov").alias("node"), item_no.alias("item_no"), F.col("pos").alias("sub_no"), page.alias("page_no")))
-    if "pages" in tables:
-        pages = tables["pages"]
-        own = _whole("page_no") if "page_no" in pages.columns else F.lit(None)
-        page = F.coalesce(own, _whole("key_"), none)
-        rows.append(pages.select(F.col("record").alias("doc_id"), F.lit("page").alias("node"), none.alias("item_no"), none.alias("sub_no"), page.alias("page_no")))
-    found = rows[0]
-    for more in rows[1:]:
-        found = found.unionByName(more)
-    return found
-
-
-def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of parser items, linked to their documents."""
-    return _parse_tables(spark, sf_dir)["results"]
-
-
-def p5_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of provenance entries, linked to the items or cells they hang from."""
-    return _parse_tables(spark, sf_dir)["prov"]
+from . import catalog, evaluation, ingest, retrieval, terms
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_items": p5_items, "p5_provenance": p5_provenance}
+    found: dict = {}
+    for module in (retrieval, ingest, terms, evaluation, catalog):
+        found |= module.queries()
+    return found
