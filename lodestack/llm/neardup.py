@@ -423,3 +423,34 @@ def similar_names(df: DataFrame, key: str = "id", name: str = "filename") -> Dat
     near = found.join(heads.toDF("a", "ids_a", "name_a", "n_a"), "a").join(heads.toDF("b", "ids_b", "name_b", "n_b"), "b")
     checked = near.filter(F.levenshtein("name_a", "name_b") * 100 <= 15 * F.greatest("n_a", "n_b"))
     return _expanded(checked.select("ids_a", "ids_b")).unionByName(_copies(bags, records)).distinct()
+
+
+# ---------------------------------------------------------------- classes
+
+
+def classes(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+    """Connected classes of pairs (id_a, id_b): one row (id, class_id, links) per id, the class named by its smallest id.
+
+    Large-star and small-star steps in turn hang every id below smaller ones
+    until nothing moves; each step is an aggregate and a join on keys, its
+    result is checkpointed, and the number of rounds grows with the logarithm
+    of the longest chain.
+    """
+    both = pairs.select("id_a", "id_b").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    links = both.distinct().groupBy(F.col("id_a").alias("id")).agg(F.count("*").alias("links"))
+    edges = checkpointed(pairs.filter(F.col("id_a") != F.col("id_b")).select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct())
+    before = None
+    for _ in range(rounds):
+        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = around.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(low, "u")
+        small = hung.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = checkpointed(small.filter(F.col("u") != F.col("v")).distinct())
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if state == before:
+            break
+        before = state
+    named = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("class_id"))
+    return links.join(named, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "links")

@@ -18,6 +18,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumnsRenamed({"id_a": "chunk_id_a", "id_b": "chunk_id_b"})
 
 
+def p1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar chunks, among all, of the stated query set: ids whose hash is divisible by 50."""
+    chunks = table(spark, sf_dir, "rag_chunk").select("id", "embedding")
+    return similar.search(chunks, chunks.filter(F.pmod(F.xxhash64("id"), F.lit(50)) == 0))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned documents as continuous, repaired paragraphs."""
+    return scans.repaired(table(spark, sf_dir, "result_item"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every case of scanning noise in the items."""
     return scans.found(table(spark, sf_dir, "result_item"))
@@ -30,6 +41,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents.select(F.lit("content").alias("field"), "id_a", "id_b").unionByName(names.select(F.lit("filename").alias("field"), "id_a", "id_b"))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of near-duplicate chunks: id, class and number of links."""
+    return neardup.classes(neardup.similar_contents(table(spark, sf_dir, "rag_chunk")))
+
+
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "result_item").select(F.lit("item").alias("record"), F.col("id").alias("record_id"), F.col("markdown").alias("text"))
     chunks = table(spark, sf_dir, "rag_chunk").select(F.lit("chunk").alias("record"), F.col("id").alias("record_id"), F.col("content").alias("text"))
@@ -74,14 +90,28 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
 
 
+def p8_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that looks like a differently stored one, with the smallest id of its form."""
+    rows = canonical.form_classes(canonical.text_forms(table(spark, sf_dir, "documents")))
+    return rows.select(F.col("key").alias("doc_id"), F.col("class_key").alias("class_id"), F.col("n").alias("n_rows"))
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text in the consistent form."""
     return table(spark, sf_dir, "documents").select("doc_id", canonical.canonical_text("text").alias("form"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_forms": p8_forms}
+    found = [p1_found, p1_topk, p2_found, p2_paragraphs, p3_found, p3_groups, p4_found, p4_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_groups, p8_forms]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The SQL that is quick enough on whole tables: cases of problem 4, whose definition SQL can state."""
+    token = r"regexp_extract_all(regexp_replace({0}, '[\p{{L}}\p{{N}}]+', 'x', 'g'), '[^\s\p{{Z}}]')"
+    return {
+        "p4_found": rf"""WITH r AS (SELECT DISTINCT 'item' AS record, id AS record_id, markdown AS t FROM result_item UNION SELECT DISTINCT 'chunk', id, content FROM rag_chunk),
+            big AS (SELECT * FROM r WHERE length(t) > 768 AND len({token.format('t')}) > 768),
+            s AS (SELECT record, record_id, unnest(regexp_split_to_array(regexp_replace(t, '([.!?。！？])\s+', '\1' || chr(10), 'g'), '\n|\r')) AS s FROM big)
+            SELECT record, record_id, CASE WHEN max(len({token.format('s')})) > 768 THEN 'forced' ELSE 'natural' END AS cut FROM s GROUP BY record, record_id""",
+    }

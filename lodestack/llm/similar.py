@@ -42,7 +42,7 @@ SAMPLE = 16_384
 #: Rows per cell that the number of cells aims at, and the most cells (400 bytes each, sent to every executor).
 CELL_ROWS, MOST_CELLS = 500, 4096
 #: Cells that a vector is compared in, its own one included.
-PROBES = 4
+PROBES = 3
 #: Rows of a cell that one task scans; larger cells are cut into blocks.
 BLOCK_ROWS = 4096
 #: Candidates of the table scan that are reranked, per vector and cell.
@@ -327,6 +327,63 @@ def nearest(df: DataFrame, *, key: str = "id", embedding: str = "embedding", lea
     return lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("id", "other", "sim")
 
 
+#: Query vectors that are sent to the executors at once (20 MB).
+QUERY_BLOCK = 50_000
+
+
+def _search(index, ids: list[str], queries: np.ndarray, top: int, rerank: int):
+    """Table scan and rerank of the stored vectors of each batch: (id, other, sim)."""
+
+    def run(batches):
+        model = index.value
+        unit = _unit(queries)
+        wide = queries.astype(np.float64) / np.linalg.norm(queries.astype(np.float64), axis=1, keepdims=True)
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            u = _unit(x)
+            cell = (u @ model.centers.T).argmax(axis=1)
+            direction, size = _residuals(u, model.centers, cell)
+            codes = np.concatenate([anisotropic_codes(direction[i : i + 4096], u[i : i + 4096], model.books, model.eta) for i in range(0, len(u), 4096)])
+            decoded = _decode(_pack(codes), model.books) * size[:, None] + model.centers[cell]
+            full = x.astype(np.float64)
+            full /= np.linalg.norm(full, axis=1, keepdims=True)
+            for at in range(0, len(unit), 1024):
+                best = _best(unit[at : at + 1024] @ decoded.T, rerank)
+                exact = np.einsum("qd,qkd->qk", wide[at : at + 1024], full[best])
+                place = _best(exact, top + 1)  # one more, for the query itself
+                rows = np.take_along_axis(best, place, axis=1)
+                names = pa.array([ids[i] for i in range(at, at + len(exact))]).take(pa.array(np.repeat(np.arange(len(exact)), rows.shape[1])))
+                yield pa.RecordBatch.from_arrays([names, batch.column(0).take(pa.array(rows.ravel())), pa.array(np.take_along_axis(exact, place, axis=1).ravel())], names=["id", "other", "sim"])
+
+    return run
+
+
+def search(df: DataFrame, queries: DataFrame, *, key: str = "id", embedding: str = "embedding", top: int = TOP, rerank: int = RERANK) -> DataFrame:
+    """One row (id, other, sim, rank) for the ``top`` most similar others of each query, found among all rows of ``df``.
+
+    Unlike :func:`nearest` it has no least similarity and skips no cell: the
+    four-bit tables of all rows are scanned, and the best ``rerank`` of each
+    batch are compared exactly. Queries go in blocks of QUERY_BLOCK; each block
+    scans the stored rows once.
+    """
+    spark = df.sparkSession
+    vectors = usable(df, key, embedding)
+    asked = usable(queries, key, embedding).select("id", "vec").dropDuplicates(["id"])
+    model = fit(vectors, df.count())
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = spark.createDataFrame([], "id string, other string, sim double")
+    if model is None:
+        return found.withColumn("rank", F.lit(1))
+    index = spark.sparkContext.broadcast(model)
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        if part.num_rows:
+            found = found.unionByName(vectors.select("id", "vec").mapInArrow(_search(index, part.column("id").to_pylist(), _matrix(part.column("vec")), top, rerank), "id string, other string, sim double"))
+    best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    lists = found.filter(F.col("id") != F.col("other")).dropDuplicates(["id", "other"])
+    return lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+
+
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """Pairs (id_a, id_b), smaller id first, of which one is among the nearest of the other."""
     return neighbours.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
