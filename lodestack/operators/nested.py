@@ -62,26 +62,26 @@ def latest(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(F.col(key)).agg(newest).select(key, F.col(f"newest.{value}").alias(value))
 
 
-def _walk(value, path: str, seen: dict) -> None:
+def _walk(value, path: str, seen: dict, maps: tuple[str, ...]) -> None:
     if isinstance(value, dict):
-        if value and all(k.isdigit() for k in value):
+        if path.rpartition("/")[2] in maps or (value and all(k.isdigit() for k in value)):
             seen[path, "map"] = seen.get((path, "map"), 0) + 1
             for v in value.values():
-                _walk(v, path + "/*", seen)
+                _walk(v, path + "/*", seen, maps)
             return
         seen[path, "object"] = seen.get((path, "object"), 0) + 1
         for k, v in value.items():
-            _walk(v, f"{path}/{k}", seen)
+            _walk(v, f"{path}/{k}", seen, maps)
     elif isinstance(value, list):
         seen[path, "list"] = seen.get((path, "list"), 0) + 1
         for v in value:
-            _walk(v, path + "/*", seen)
+            _walk(v, path + "/*", seen, maps)
     elif value is not None:
         kind = "number" if isinstance(value, (int, float)) and not isinstance(value, bool) else "boolean" if isinstance(value, bool) else "text"
         seen[path, kind] = seen.get((path, kind), 0) + 1
 
 
-def schema_paths(roots: DataFrame, value: str = "value") -> DataFrame:
+def schema_paths(roots: DataFrame, value: str = "value", maps: tuple[str, ...] = ()) -> DataFrame:
     """Paths and kinds of value over all records, with counts: (path, kind, n). Each batch sends on only its own counts."""
 
     def run(batches):
@@ -89,7 +89,7 @@ def schema_paths(roots: DataFrame, value: str = "value") -> DataFrame:
             seen: dict = {}
             for text in batch.column(0).to_pylist():
                 if text is not None:
-                    _walk(json.loads(text), "", seen)
+                    _walk(json.loads(text), "", seen, maps)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["path", "kind", "n"]
             )
@@ -116,8 +116,8 @@ class Plan:
     edges: list[Edge] = field(default_factory=list)
 
 
-def inline(paths: dict[tuple[str, str], int], root: str = "document") -> Plan:
-    """Decide the tables from the schema graph's (path, kind) counts."""
+def inline(paths: dict[tuple[str, str], int], root: str = "document", lists: tuple[str, ...] = ()) -> Plan:
+    """Decide the tables from the schema graph's (path, kind) counts; elements named in ``lists`` are tables even if each stands alone."""
     kinds: dict[str, set[str]] = {}
     for path, kind in paths:
         kinds.setdefault(path, set()).add(kind)
@@ -128,7 +128,7 @@ def inline(paths: dict[tuple[str, str], int], root: str = "document") -> Plan:
     plan = Plan({root: {}})
 
     def repeated(path: str) -> bool:
-        many = kinds[path] & {"list", "map"}
+        many = kinds[path] & {"list", "map"} or path.rpartition("/")[2] in lists
         return bool(many) and ("object" in kinds.get(path + "/*", set()) or "object" in kinds[path])
 
     def descend(path: str, table: str, steps: tuple[str, ...]) -> None:
@@ -178,12 +178,16 @@ def _child(parent: DataFrame, edge: Edge, key: str) -> DataFrame:
     return rows.select(key, "parent", "parent_id", F.concat_ws("/", "here", "pos").alias("node_id"), "pos", F.lit(None).cast("string").alias("key"), "value")
 
 
-def shred(df: DataFrame, key: str, text: str, list_field: str = "results", root: str = "document", plan: Plan | None = None) -> dict[str, DataFrame]:
+def shred(
+    df: DataFrame, key: str, text: str, list_field: str = "results", root: str = "document", plan: Plan | None = None, lists: tuple[str, ...] = (), maps: tuple[str, ...] = ()
+) -> dict[str, DataFrame]:
     """The flat tables of the JSON texts of ``df`` by name; ``root`` has one row per readable record.
 
     Every table has (key, parent, parent_id, node_id, pos, key_, value columns);
     a column's name is the dotted path below its table. Without a ``plan`` the
     schema graph is analysed first, which is one more pass over the texts.
+    ``lists`` and ``maps`` name elements that are repeated by their meaning, so
+    that data in which each happens to stand alone gives the same tables.
     """
     texts = df.select(F.col(key).cast("string").alias("record"), F.col(text).alias("__json"))
     bare = F.col("__json").rlike("^[\\uFEFF\\s]*\\[")
@@ -194,10 +198,10 @@ def shred(df: DataFrame, key: str, text: str, list_field: str = "results", root:
     inside = bound(F.col("value"), lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), quoted(v)).otherwise(v))  # a bare list inside a string
     roots = checkpointed(roots.select("record", inside.alias("value"))).filter(F.col("value").isNotNull())
     if plan is None:
-        found = schema_paths(roots).limit(MOST_PATHS + 1).collect()
+        found = schema_paths(roots, maps=maps).limit(MOST_PATHS + 1).collect()
         if len(found) > MOST_PATHS:
             raise ValueError(f"more than {MOST_PATHS} different paths: the records have data in the place of names")
-        plan = inline({(r.path, r.kind): r.n for r in found}, root)
+        plan = inline({(r.path, r.kind): r.n for r in found}, root, lists)
     none = F.lit(None).cast("string")
     start = roots.select("record", none.alias("parent"), none.alias("parent_id"), F.col("record").alias("node_id"), F.lit(0).alias("pos"), none.alias("key"), "value")
     nodes: dict[str, DataFrame] = {root: start}

@@ -17,7 +17,7 @@ from .common import CHUNK, ITEM, TOKENS, WORDS, chunks, items
 
 def _parse_tables(spark, sf_dir) -> dict[str, DataFrame]:
     documents = table(spark, sf_dir, "rag_document")
-    return nested.shred(nested.latest(documents, "id", "updated_at", "parse_json"), "id", "parse_json")
+    return nested.shred(nested.latest(documents, "id", "updated_at", "parse_json"), "id", "parse_json", lists=("results", "prov"), maps=("pages",))
 
 
 def _whole(column: str):

@@ -14,6 +14,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -34,7 +35,7 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 
 def embed_texts(df: DataFrame, text: str, factory: Callable[[], Embedder] = hashing_embedder, batch: int = 32) -> DataFrame:
     """``df`` with ``embedding``, normalised to length 1; null texts have none. ``batch`` texts go to the model at once."""
-    schema = df.withColumn("embedding", F.array().cast("array<float>")).schema
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(frames):
         model = factory()
