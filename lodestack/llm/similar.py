@@ -44,7 +44,7 @@ CELL_ROWS, MOST_CELLS = 500, 4096
 #: Cells that a vector is compared in, its own one included.
 PROBES = 3
 #: Rows of a cell that one task scans; larger cells are cut into blocks.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 #: Candidates of the table scan that are reranked, per vector and cell.
 RERANK = 64
 #: From this share of the norm on, inner products are meant to be exact (the published threshold).
@@ -289,7 +289,7 @@ def _scan(index, least: float, top: int, rerank: int):
                 src += [a[keep], b[keep]]
                 dst += [b[keep], a[keep]]
                 sim += [s[keep], s[keep]]
-        if not src:
+        if not sum(map(len, src)):
             return _EDGE.empty_table()
         src, dst, sim = np.concatenate(src), np.concatenate(dst), np.concatenate(sim)
         ids = table.column("ids").combine_chunks()
