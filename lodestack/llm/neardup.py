@@ -436,7 +436,8 @@ def classes(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     result is checkpointed, and the number of rounds grows with the logarithm
     of the longest chain.
     """
-    both = pairs.select("id_a", "id_b").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    pairs = checkpointed(pairs.select("id_a", "id_b"))
+    both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     links = both.distinct().groupBy(F.col("id_a").alias("id")).agg(F.count("*").alias("links"))
     edges = checkpointed(pairs.filter(F.col("id_a") != F.col("id_b")).select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct())
     before = None
