@@ -27,9 +27,10 @@ LIMIT, OVERLAP = 768, 64
 _TOKEN = re.compile(r"[^\W_]+|[\W_]")
 _LINE = re.compile("[\n\r\x0b\x0c\x85  ]")
 _PARAGRAPH = re.compile("\n[^\\S\n]*\n")
-# What ends a sentence, and the costs of the kinds of cut.
+# What ends a sentence, and the costs of the kinds of cut. Any cut that isn't natural
+# costs more than many natural ones, so two of them never beat one.
 SENTENCE_END = frozenset(".!?。！？")
-COST = {"paragraph": 0.0, "line": 0.02, "sentence": 0.05, "space": 1e3, "inside": 2e3}
+COST = {"paragraph": 0.0, "line": 0.02, "sentence": 0.05, "space": 1e5, "inside": 1e5 + 10}
 
 
 def token_spans(text: str) -> np.ndarray:
@@ -66,14 +67,18 @@ def plan_cuts(kinds: list[str], limit: int, overlap: int) -> tuple[list[int], bo
     target = total / max(1, -(-(total - overlap) // fresh))
     best, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
     best[0] = 0.0
-    low = 0
+    low = 1
     for j in range(1, len(at)):
-        while at[j] - at[low] > (limit if low == 0 else fresh):
+        while low < j and at[j] - at[low] > fresh:
             low += 1
-        length = at[j] - at[low:j]
-        cost = best[low:j] + price[j] + np.square(length / target - 1.0)
-        k = int(np.argmin(cost))
-        best[j], back[j] = cost[k], low + k
+        if low < j:
+            cost = best[low:j] + np.square((at[j] - at[low:j]) / target - 1.0)
+            k = int(np.argmin(cost))
+            best[j], back[j] = cost[k] + price[j], low + k
+        if at[j] <= limit:  # the first piece repeats nothing, so it may be longer
+            whole = price[j] + (at[j] / target - 1.0) ** 2
+            if whole <= best[j]:
+                best[j], back[j] = whole, 0
     cuts, j = [], len(at) - 1
     while j > 0:
         j = int(back[j])

@@ -47,6 +47,17 @@ def test_cuts_are_the_best_of_all(kinds, limit, overlap):
     assert allowed < np.inf and natural(chosen) == fewest and allowed <= best + 1e-9
 
 
+def test_only_the_first_piece_may_take_the_whole_limit():
+    kinds = ["paragraph", "paragraph", "space", "paragraph", "paragraph", "space", "paragraph"]
+    cuts = S.plan_cuts(kinds, 4, 2)[0]
+    assert cuts[1] <= 4 and all(b - a <= 2 for a, b in zip(cuts[1:], [*cuts[2:], 7], strict=True))
+
+
+def test_two_cuts_at_spaces_never_beat_one_inside():
+    kinds = ["paragraph", "space", "inside", "inside", "inside", "space", "paragraph", "paragraph"]
+    assert sum(kinds[c] in ("space", "inside") for c in S.plan_cuts(kinds, 4, 0)[0]) == 1
+
+
 def test_forced_only_where_no_boundary_is_near():
     assert S.split_text("w " * 800)[1] and not S.split_text("w " * 768)[0]
     pieces, forced = S.split_text(("w " * 300 + "end. ") * 9)
