@@ -52,6 +52,8 @@ LOOKALIKES = {
 # Format characters that are visible, and blank characters that are not of category Cf.
 VISIBLE_FORMAT = frozenset("؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd")
 BLANK_OTHER = frozenset("͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ") | {chr(c) for c in range(0xFE00, 0xFE10)}
+#: Rows of one large form that are paired under one join key; more are cut into blocks.
+BLOCK = 2048
 HIGHEST = 0x30000  # beyond it lie only plane-14 tags, private use and rare ideographs
 
 
@@ -187,13 +189,21 @@ def form_classes(forms: DataFrame) -> DataFrame:
     return forms.dropDuplicates(["key", "raw"]).join(shared, "form")
 
 
+def _paired(rows: DataFrame) -> DataFrame:
+    """Pairs (key_a, key_b) among the rows (form, raw, key, blocks) of each form; every pair of its blocks is a join key of its own."""
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    a = cut.select("form", F.col("own").alias("x"), F.col("other").alias("y"), F.col("key").alias("key_a"), F.col("raw").alias("raw_a"))
+    b = cut.select("form", F.col("other").alias("x"), F.col("own").alias("y"), F.col("key").alias("key_b"), F.col("raw").alias("raw_b"))
+    return a.join(b, ["form", "x", "y"]).filter((F.col("key_a") < F.col("key_b")) & (F.col("raw_a") != F.col("raw_b"))).select("key_a", "key_b")
+
+
 def same_form_pairs(forms: DataFrame, expand_up_to: int = 1000) -> DataFrame:
     """Pairs (key_a, key_b), smaller key first, of differently stored texts with one form.
 
-    All pairs of a form with up to ``expand_up_to`` rows come out. A larger
-    form is given by its links to its smallest key and, per stored variant, to
-    the variant's smallest key, which keeps it connected and the output linear;
-    :func:`form_classes` holds its full membership.
+    All pairs of different texts come out, however many variants a form has.
+    Only exact copies are shortened: of a variant with more than
+    ``expand_up_to`` rows the smallest key stands for it in the pairs, and each
+    of its other rows has one link, to the smallest key of another variant.
     """
     rows = form_classes(forms)
     small = rows.filter(F.col("n") <= expand_up_to)
@@ -202,13 +212,16 @@ def same_form_pairs(forms: DataFrame, expand_up_to: int = 1000) -> DataFrame:
     all_pairs = a.join(b, "form").filter((F.col("key_a") < F.col("key_b")) & (F.col("raw_a") != F.col("raw_b"))).select("key_a", "key_b")
 
     large = rows.filter(F.col("n") > expand_up_to)
-    variants = large.groupBy("form", "raw").agg(F.min("key").alias("lead"))
-    heads = variants.groupBy("form").agg(F.min(F.struct("lead", "raw")).alias("first"), F.max(F.struct("lead", "raw")).alias("last"))
+    variants = large.groupBy("form", "raw").agg(F.min("key").alias("lead"), F.count("*").alias("copies"))
+    shown = F.when(F.col("copies") > expand_up_to, 1).otherwise(F.col("copies"))
+    heads = variants.groupBy("form").agg(
+        F.min(F.struct("lead", "raw")).alias("first"), F.max(F.struct("lead", "raw")).alias("last"), F.ceil(F.sum(shown) / BLOCK).alias("blocks")
+    )
+    members = large.join(variants, ["form", "raw"]).join(heads, "form")
+    stands = (F.col("copies") <= expand_up_to) | (F.col("key") == F.col("lead"))
     star = (
-        large.join(heads, "form")
+        members.filter(~stands)
         .withColumn("other", F.when(F.col("raw") != F.col("first.raw"), F.col("first.lead")).otherwise(F.col("last.lead")))
         .select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b"))
     )
-    return all_pairs.unionByName(star).distinct()
-
-
+    return all_pairs.unionByName(_paired(members.filter(stands).select("form", "raw", "key", "blocks"))).unionByName(star).distinct()

@@ -53,5 +53,17 @@ def test_a_large_form_stays_connected(spark):
     assert C.form_classes(C.text_forms(rows(spark, values))).filter("class_key = 0 and n = 81").count() == 81
 
 
+def test_a_large_form_keeps_every_pair_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 4, raising=False)
+    variants = ["same", "sаme", "ｓame", "s\xadame", "ｓаme", "sаmе", "samе", "same​"]
+    values = [(i, "same") for i in range(30)] + [(100 + 10 * v + i, t) for v, t in enumerate(variants[1:]) for i in range(3)]
+    form = dict(values)
+    different = [i for i in sorted(form) if i == 0 or i >= 100]  # 30 copies of one text stand behind the smallest
+    want = {(a, b) for a in different for b in different if a < b and form[a] != form[b]}
+    found = set(pairs(rows(spark, values), expand_up_to=10))
+    assert len({C.canonical(t) for t in variants}) == 1 and found >= want
+    assert all(form[a] != form[b] for a, b in found) and {x for p in found for x in p} == set(form) and len(found) == len(want) + 29
+
+
 def test_empty_table(spark):
     assert pairs(rows(spark, [])) == []
