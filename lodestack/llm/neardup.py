@@ -15,10 +15,11 @@ level, with their differing bits added up and pruned as soon as they exceed the
 budget. What reaches the leaves is verified exactly.
 
 Roots that many records share are cut into blocks, and each pair of blocks is
-its own task, so no group outgrows a task. Exact copies of a bag are one record
-for the join. Up to EXPAND copies are expanded into all their pairs afterwards;
-of a larger group of copies every member is linked to the smallest id, which
-stands for the group in pairs with other texts.
+its own task, so no group outgrows a task. The records of one bag are one record
+for the join and are expanded into all their pairs afterwards, in parts where a
+bag has many. Only exact copies, equal byte by byte, are shortened: of more than
+EXPAND copies every member is linked to the smallest id, which stands for them
+in pairs with other texts.
 
 Defined results: nulls, and texts or names outside the size limits, have no
 rows; repeated rows count once; an empty table gives an empty result; extra
@@ -40,8 +41,10 @@ from pyspark.sql.types import IntegerType
 
 from lodestack.session import checkpointed
 
-#: Copies of one bag that are expanded into all pairs.
+#: Exact copies of one stored text or name that are expanded into all pairs.
 EXPAND = 64
+#: Ids in one part of a bag that many records share.
+PART = 256
 #: Records of one root that a task compares; more are cut into blocks.
 BLOCK = 4096
 LEAST_WORDS, MOST_WORDS = 20, 400
@@ -49,7 +52,7 @@ LEAST_NAME = 12
 BITS = 256
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_RECORD = "id string, bag binary, n int, sig binary, own array<bigint>, low array<bigint>"
+_RECORD = "id string, bag binary, raw binary, n int, sig binary, own array<bigint>, low array<bigint>"
 
 
 # ---------------------------------------------------------------- signatures
@@ -117,12 +120,13 @@ def content_records(df: DataFrame, key: str = "id", text: str = "content") -> Da
 
     def run(batches):
         for batch in batches:
-            words, sizes, rows = [], [], []
+            words, sizes, rows, raw = [], [], [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
                 if value is not None and len(value) >= 2 * LEAST_WORDS - 1:
                     found = _WORD.findall(value.lower())
                     if LEAST_WORDS <= len(found) <= MOST_WORDS:
                         rows.append(i)
+                        raw.append(xxhash.xxh3_128_digest(value))
                         sizes.append(len(found))
                         words += found
             n = np.array(sizes, np.int64)
@@ -140,9 +144,9 @@ def content_records(df: DataFrame, key: str = "id", text: str = "content") -> Da
             group = np.searchsorted(_CLASSES, n, side="right") - 1
             own, low = (_list_array(*_part_keys(owner, feature, len(n), group + step)) for step in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(bags, pa.binary()), pa.array(n.astype(np.int32))]
+                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(bags, pa.binary()), pa.array(raw, pa.binary()), pa.array(n.astype(np.int32))]
                 + [pa.array([s.tobytes() for s in _parity(owner, feature, len(n))], pa.binary()), own, low],
-                names=["id", "bag", "n", "sig", "own", "low"],
+                names=["id", "bag", "raw", "n", "sig", "own", "low"],
             )
 
     source = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
@@ -198,12 +202,12 @@ def name_records(df: DataFrame, key: str = "id", name: str = "filename") -> Data
                 grams = np.concatenate([_mixed(code) % np.uint64(64), np.uint64(64) + _mixed(code[:-1] << np.uint64(32) | code[1:]) % np.uint64(BITS - 64)])
                 sig.append(_parity(np.zeros(len(grams), np.int64), grams, 1)[0].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([v.encode("utf-8", "surrogatepass") for v in names], pa.binary()), pa.array([len(v) for v in names], pa.int32())]
+                [batch.column(0), pa.array([v.encode("utf-8", "surrogatepass") for v in names], pa.binary()), batch.column(2), pa.array([len(v) for v in names], pa.int32())]
                 + [pa.array(sig, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))],
-                names=["id", "bag", "n", "sig", "own", "low"],
+                names=["id", "bag", "raw", "n", "sig", "own", "low"],
             )
 
-    source = df.select(F.col(key).cast("string").alias("id"), name_key(name).alias("name")).filter(F.col("id").isNotNull() & (F.length("name") >= LEAST_NAME))
+    source = df.select(F.col(key).cast("string").alias("id"), name_key(name).alias("name"), F.unhex(F.md5(F.col(name).cast("string"))).alias("raw")).filter(F.col("id").isNotNull() & (F.length("name") >= LEAST_NAME))
     return source.distinct().mapInArrow(run, _RECORD)
 
 
@@ -353,8 +357,8 @@ def candidate_pairs(records: DataFrame, budget) -> DataFrame:
 def distinct_bags(records: DataFrame) -> DataFrame:
     """One materialised row (rid, ids, bag, n, sig, own, low) per different bag, with its EXPAND + 1 smallest ids.
 
-    The rank limit also runs before the shuffle, so no task holds all copies
-    of a bag.
+    The rank limit also runs before the shuffle, so no task holds all records
+    of a bag; what lies beyond it is found again by :func:`_members`.
     """
     order = Window.partitionBy("bag").orderBy("id")
     few = records.withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= EXPAND + 1)
@@ -362,23 +366,47 @@ def distinct_bags(records: DataFrame) -> DataFrame:
     return checkpointed(one.withColumn("rid", F.monotonically_increasing_id()))
 
 
-def _copies(bags: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs among the copies of each bag; of more than EXPAND copies, the links to the smallest id."""
-    some = bags.filter(F.size("ids").between(2, EXPAND)).select("ids")
-    pairs = some.select(F.explode("ids").alias("id_a"), "ids").select("id_a", F.explode("ids").alias("id_b"))
-    many = bags.filter(F.size("ids") > EXPAND).select("bag", F.col("ids")[0].alias("id_a"))
-    if not many.isEmpty():
-        pairs = pairs.unionByName(records.select(F.col("id").alias("id_b"), "bag").join(many, "bag").select("id_a", "id_b"))
-    return pairs.filter(F.col("id_a") < F.col("id_b")).distinct()
+def _members(bags: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the bags with more than EXPAND ids: the ids that stand in pairs, as parts (rid, part, ids), and the links (id_a, id_b) of exact copies.
 
-
-def _expanded(pairs: DataFrame) -> DataFrame:
-    """Pairs of bags (ids_a, ids_b) as pairs of ids; a bag with more than EXPAND copies is stood for by its smallest id."""
-    stand = lambda c: F.explode(F.when(F.size(c) > EXPAND, F.slice(c, 1, 1)).otherwise(F.col(c)))
-    both = pairs.select(stand("ids_a").alias("a"), "ids_b").select("a", stand("ids_b").alias("b"))
+    Every id stands for itself but those of a text with more than EXPAND exact
+    copies, for which the smallest id stands.
+    """
+    many = bags.filter(F.size("ids") > EXPAND).select("bag", "rid")
+    rows = checkpointed(records.select("id", "bag", "raw").join(many, "bag").select("rid", "raw", "id").distinct())
+    texts = rows.groupBy("rid", "raw").agg(F.min("id").alias("lead"), F.count("*").alias("copies"))
+    rows = rows.join(texts, ["rid", "raw"])
+    stands = (F.col("copies") <= EXPAND) | (F.col("id") == F.col("lead"))
+    links = rows.filter(~stands).select(F.col("lead").alias("id_a"), F.col("id").alias("id_b"))
+    shown = rows.filter(stands).select("rid", "id").distinct()
+    parts = shown.groupBy("rid").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    cut = shown.join(parts, "rid").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return checkpointed(cut.groupBy("rid", "part").agg(F.collect_list("id").alias("ids"))), links
+
+
+def _crossed(pairs: DataFrame) -> DataFrame:
+    """Pairs of lists (ids_a, ids_b) as pairs of ids, smaller first."""
+    both = pairs.select(F.explode("ids_a").alias("a"), "ids_b").select("a", F.explode("ids_b").alias("b")).filter(F.col("a") != F.col("b"))
     return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
+def _id_pairs(near: DataFrame, bags: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs of ids from the pairs of similar bags ``near`` (a, b, ids_a, ids_b) and from within each bag."""
+    few = bags.filter(F.size("ids").between(2, EXPAND))
+    within = _crossed(few.select(F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b")))
+    if bags.filter(F.size("ids") > EXPAND).isEmpty():
+        return _crossed(near).unionByName(within).distinct()
+    near = checkpointed(near)
+    plain = (F.size("ids_a") <= EXPAND) & (F.size("ids_b") <= EXPAND)
+    parts, links = _members(bags, records)
+    every = bags.filter(F.size("ids") <= EXPAND).select("rid", F.lit(0).cast("bigint").alias("part"), "ids").unionByName(parts)
+    a, b = every.toDF("a", "part_a", "ids_a"), every.toDF("b", "part_b", "ids_b")
+    across = near.filter(~plain).select("a", "b").join(a, "a").join(b, "b")
+    inside = parts.toDF("a", "part_a", "ids_a").join(parts.toDF("b", "part_b", "ids_b"), (F.col("a") == F.col("b")) & (F.col("part_a") <= F.col("part_b")))
+    blocks = across.unionByName(inside.select(across.columns)).repartition("a", "part_a", "b", "part_b")
+    return _crossed(near.filter(plain)).unionByName(within).unionByName(_crossed(blocks)).unionByName(links).distinct()
+
+
 @pandas_udf(IntegerType())
 def _shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
     """Shared words of two texts per 10,000 of all their words, rounded down."""
@@ -397,32 +425,41 @@ def _shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int32")
 
 
-def similar_contents(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """Pairs (id_a, id_b) of texts whose shared words are at least 80 % of all their words."""
-    records = content_records(df, key, text)
-    bags = distinct_bags(records)
+def _near_contents(df: DataFrame, bags: DataFrame, key: str, text: str) -> DataFrame:
+    """Pairs (a, b, ids_a, ids_b) of bags whose shared words are at least 80 % of all their words."""
     found = candidate_pairs(bags, content_budget)
-    heads = bags.select("rid", "ids", F.col("ids")[0].alias("id"))
-    near = found.join(heads.select(F.col("rid").alias("a"), F.col("ids").alias("ids_a")), "a").join(heads.select(F.col("rid").alias("b"), F.col("ids").alias("ids_b")), "b")
+    heads = bags.select("rid", "ids")
+    near = found.join(heads.toDF("a", "ids_a"), "a").join(heads.toDF("b", "ids_b"), "b")
     texts = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).filter(F.length(text) >= 2 * LEAST_WORDS - 1)
-    checked = (
-        near.select(F.col("ids_a")[0].alias("head_a"), F.col("ids_b")[0].alias("head_b"), "ids_a", "ids_b")
+    return (
+        near.select(F.col("ids_a")[0].alias("head_a"), F.col("ids_b")[0].alias("head_b"), "a", "b", "ids_a", "ids_b")
         .join(texts.select(F.col("id").alias("head_a"), F.col("text").alias("text_a")), "head_a")
         .join(texts.select(F.col("id").alias("head_b"), F.col("text").alias("text_b")), "head_b")
         .filter(_shared_words("text_a", "text_b") >= 8000)
+        .select("a", "b", "ids_a", "ids_b")
     )
-    return _expanded(checked.select("ids_a", "ids_b")).unionByName(_copies(bags, records)).distinct()
 
 
-def similar_names(df: DataFrame, key: str = "id", name: str = "filename") -> DataFrame:
-    """Pairs (id_a, id_b) of names that at most 15 % of the longer length in edits turn into one another."""
-    records = name_records(df, key, name)
+def similar_contents(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
+    """Pairs (id_a, id_b) of texts whose shared words are at least 80 % of all their words."""
+    records = content_records(df, key, text)
     bags = distinct_bags(records)
+    return _id_pairs(_near_contents(df, bags, key, text), bags, records)
+
+
+def _near_names(bags: DataFrame) -> DataFrame:
+    """Pairs (a, b, ids_a, ids_b) of names that at most 15 % of the longer length in edits turn into one another."""
     found = candidate_pairs(bags, name_budget)
     heads = bags.select("rid", "ids", F.col("bag").cast("string").alias("name"), "n")
     near = found.join(heads.toDF("a", "ids_a", "name_a", "n_a"), "a").join(heads.toDF("b", "ids_b", "name_b", "n_b"), "b")
-    checked = near.filter(F.levenshtein("name_a", "name_b") * 100 <= 15 * F.greatest("n_a", "n_b"))
-    return _expanded(checked.select("ids_a", "ids_b")).unionByName(_copies(bags, records)).distinct()
+    return near.filter(F.levenshtein("name_a", "name_b") * 100 <= 15 * F.greatest("n_a", "n_b")).select("a", "b", "ids_a", "ids_b")
+
+
+def similar_names(df: DataFrame, key: str = "id", name: str = "filename") -> DataFrame:
+    """Pairs (id_a, id_b) of names that at most 15 % of the longer length in edits turn into one another."""
+    records = name_records(df, key, name)
+    bags = distinct_bags(records)
+    return _id_pairs(_near_names(bags), bags, records)
 
 
 # ---------------------------------------------------------------- classes
@@ -455,3 +492,31 @@ def classes(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         before = state
     named = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("class_id"))
     return links.join(named, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "links")
+
+
+def _grouped(near: DataFrame, bags: DataFrame, records: DataFrame) -> DataFrame:
+    """One row (id, class_id, links) per record, from the classes and sizes of the bags; a record without a link is a class of its own."""
+    heads = bags.select("bag", F.col("ids")[0].alias("head"))
+    members = checkpointed(records.select("id", "bag").distinct().join(heads, "bag").select("id", "head"))
+    size = members.groupBy("head").agg(F.count("*").alias("n"))
+    near = checkpointed(near.select(F.col("ids_a")[0].alias("id_a"), F.col("ids_b")[0].alias("id_b")).distinct())
+    both = near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    others = both.join(size.withColumnRenamed("head", "id_b"), "id_b").groupBy(F.col("id_a").alias("head")).agg(F.sum("n").alias("more"))
+    named = classes(near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))).select(F.col("id").alias("head"), "class_id")
+    per_bag = size.join(others, "head", "left").join(named, "head", "left")
+    per_bag = per_bag.select("head", F.coalesce("class_id", "head").alias("class_id"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return members.join(per_bag, "head").select("id", "class_id", "links")
+
+
+def content_groups(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
+    """The class of every text within the size limits, and the number of all texts similar to it."""
+    records = content_records(df, key, text)
+    bags = distinct_bags(records)
+    return _grouped(_near_contents(df, bags, key, text), bags, records)
+
+
+def name_groups(df: DataFrame, key: str = "id", name: str = "filename") -> DataFrame:
+    """The class of every name within the size limits, and the number of all names similar to it."""
+    records = name_records(df, key, name)
+    bags = distinct_bags(records)
+    return _grouped(_near_names(bags), bags, records)

@@ -42,8 +42,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classes of near-duplicate chunks: id, class and number of links."""
-    return neardup.classes(neardup.similar_contents(table(spark, sf_dir, "rag_chunk")))
+    """The classes of near-duplicate chunks and file names: field, id, class and number of links."""
+    contents = neardup.content_groups(table(spark, sf_dir, "rag_chunk"))
+    names = neardup.name_groups(table(spark, sf_dir, "rag_document"))
+    return contents.select(F.lit("content").alias("field"), "*").unionByName(names.select(F.lit("filename").alias("field"), "*"))
 
 
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:

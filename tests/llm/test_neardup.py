@@ -77,6 +77,29 @@ def test_many_copies_are_linked_to_the_smallest(spark, monkeypatch):
     assert contents(spark, rows) == {("c00", f"c{i:02}") for i in range(1, 30)} | {("z1", "z2"), ("c00", "z1"), ("c00", "z2")}
 
 
+def test_different_texts_of_one_bag_keep_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "EXPAND", 5)
+    monkeypatch.setattr(N, "PART", 3, raising=False)
+    rng = np.random.default_rng(5)
+    words = [f"k{i}" for i in range(40)]
+    rows = [(f"c{i:02}", " ".join(rng.permutation(words))) for i in range(12)] + [(f"d{i}", " ".join([*rng.permutation(words[:-1]), "other"])) for i in range(7)] + [("e", " ".join([*words[:-2], "one", "two"]))]
+    assert contents(spark, rows) == brute_texts(rows) and len(brute_texts(rows)) > 180
+
+    names = [(f"n{i}", f"Report{'_-. +'[i % 5]}{'Quarterly' if i < 5 else 'quarterly'}_1.{'PDF' if i % 2 else 'docx'}") for i in range(10)] + [("o", "report-quartely-1.pdf")]
+    df = spark.createDataFrame(names, "id string, filename string")
+    assert {(r["id_a"], r["id_b"]) for r in N.similar_names(df).collect()} == {(a, b) for a, _ in names for b, _ in names if a < b}
+
+
+def test_groups_count_every_link(spark, monkeypatch):
+    monkeypatch.setattr(N, "EXPAND", 5)
+    words = [f"k{i}" for i in range(40)]
+    rows = [(f"c{i:02}", " ".join(words)) for i in range(9)] + [("b", " ".join([*words[:-1], "other"])), ("x", " ".join(f"x{i}" for i in range(30))), ("n", None), ("s", "short")]
+    got = {r["id"]: (r["class_id"], r["links"]) for r in N.content_groups(spark.createDataFrame([*rows, rows[0]], "id string, content string")).collect()}
+    assert got == {f"c{i:02}": ("b", 9) for i in range(9)} | {"b": ("b", 9), "x": ("x", 0)}
+    names = spark.createDataFrame([("a", "Report_quarterly.pdf"), ("b", "report-quarterly.docx"), ("c", "something else.pdf")], "id string, filename string")
+    assert {r["id"]: (r["class_id"], r["links"]) for r in N.name_groups(names).collect()} == {"a": ("a", 1), "b": ("a", 1), "c": ("c", 0)}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
