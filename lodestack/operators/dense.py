@@ -83,14 +83,17 @@ def knn(queries: DataFrame, stored: DataFrame, k: int, qid: str = "qid", key: st
     return hits.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def lsh_candidates(queries: DataFrame, stored: DataFrame, bands: int = 8, bits: int = 6, seed: int = 3, key: str = "id") -> DataFrame:
-    """Approximate alternative: pairs (qid, key, score) of vectors that agree on the signs of one band of random projections.
+def lsh_candidates(queries: DataFrame, stored: DataFrame, k: int = 5, bands: int = 24, bits: int = 8, seed: int = 3, key: str = "id", exclude_self: bool = False) -> DataFrame:
+    """Approximate alternative: the ``k`` best (qid, key, score, rank) per query among the vectors that share a bucket with it.
 
-    ``queries`` (qid, embedding), ``stored`` (key, embedding). It misses pairs
+    A bucket is the signs of ``bits`` random projections of one band; a query
+    looks in its own bucket of every band and in those one sign away.
+    ``queries`` (qid, embedding), ``stored`` (key, embedding). Only ids meet in
+    buckets; what is found there is ranked by the exact cosine. It misses rows
     by nature; the exact scan is the default.
     """
 
-    def signed(df: DataFrame, name: str) -> DataFrame:
+    def signed(df: DataFrame, name: str, probes: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
         def run(batches):
             for batch in batches:
                 lists = batch.column(1)
@@ -98,13 +101,21 @@ def lsh_candidates(queries: DataFrame, stored: DataFrame, bands: int = 8, bits:
                 rows, units = _units(lists, dim)
                 planes = np.random.default_rng(seed).normal(size=(dim, bands * bits))
                 signs = (units @ planes > 0).reshape(len(rows), bands, bits) @ (1 << np.arange(bits)) if len(rows) else np.zeros((0, bands), np.int64)
-                keys = [[int(b) * (1 << bits) + int(s) for b, s in enumerate(r)] for r in signs]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(keys, pa.list_(pa.int64())), pa.array(list(units), pa.list_(pa.float64()))], names=[name, "band", "unit"])
+                keys = (np.arange(bands) << bits)[None, :, None] + (signs[:, :, None] ^ np.array(probes))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(keys.reshape(len(rows), bands * len(probes)).tolist(), pa.list_(pa.int64())), pa.array(list(units), pa.list_(pa.float64()))], names=[name, "band", "unit"]
+                )
 
         kind = df.schema[df.columns[0]].dataType.simpleString()
         made = df.withColumn(df.columns[1], F.col(df.columns[1]).cast("array<double>")).mapInArrow(run, f"`{name}` {kind}, band array<bigint>, unit array<double>")
-        return made.withColumn("band", F.explode("band"))
+        return made.select(name, F.explode("band").alias("band")), made.select(name, "unit").dropDuplicates([name])
 
-    a = signed(queries, "qid").withColumnRenamed("unit", "q_unit")
+    asked, q_units = signed(queries, "qid", (0, *(1 << i for i in range(bits))))
+    placed, units = signed(stored, key, (0,))
+    met = asked.join(placed, "band").select("qid", key).distinct()
+    if exclude_self:
+        met = met.filter(F.col("qid") != F.col(key))
     score = F.aggregate(F.zip_with("q_unit", "unit", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(signed(stored, key), "band").select("qid", key, F.round(score, 6).alias("score")).distinct()
+    scored = met.join(q_units.withColumnRenamed("unit", "q_unit"), "qid").join(units, key).select("qid", key, F.round(score, 6).alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)

@@ -48,7 +48,7 @@ def dense_chunks(spark, sf_dir):
 
 def ann_lsh(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return dense.lsh_candidates(_asked(spark, sf_dir), vectors.select("vec_id", "embedding"), key="vec_id")
+    return dense.lsh_candidates(_asked(spark, sf_dir), vectors.select("vec_id", "embedding"), 5, key="vec_id", exclude_self=True)
 
 
 def _knn_sql(k: int, stored: str = "embeddings", where: str = "true") -> str:

@@ -121,3 +121,15 @@ def test_lsh_finds_itself(spark):
     stored = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(50)], "id long, embedding array<double>")
     found = dense.lsh_candidates(stored.select(F.col("id").alias("qid"), "embedding"), stored)
     assert found.filter("qid = id").count() == 50
+
+
+def test_lsh_recall(spark):
+    units = np.random.default_rng(6).normal(size=(1500, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    stored = spark.createDataFrame([(i, u.tolist()) for i, u in enumerate(units)], "id long, embedding array<double>")
+    found = dense.lsh_candidates(stored.filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), stored, 5, exclude_self=True).collect()
+    got = {(r["qid"], r["id"]) for r in found}
+    scores = units @ units.T
+    np.fill_diagonal(scores, -9)
+    want = {(q, int(i)) for q in range(0, 1500, 50) for i in np.argsort(-scores[q])[:5]}
+    assert len(found) == len(got) == 150 and len(want & got) >= 0.9 * len(want)
