@@ -332,7 +332,7 @@ QUERY_BLOCK = 50_000
 
 
 def _search(index, ids: list[str], queries: np.ndarray, top: int, rerank: int):
-    """Table scan and rerank of the stored vectors of each batch: (id, other, sim)."""
+    """Table scan and rerank of the different vectors of each batch: (id, others, sim)."""
 
     def run(batches):
         model = index.value
@@ -353,7 +353,7 @@ def _search(index, ids: list[str], queries: np.ndarray, top: int, rerank: int):
                 place = _best(exact, top + 1)  # one more, for the query itself
                 rows = np.take_along_axis(best, place, axis=1)
                 names = pa.array([ids[i] for i in range(at, at + len(exact))]).take(pa.array(np.repeat(np.arange(len(exact)), rows.shape[1])))
-                yield pa.RecordBatch.from_arrays([names, batch.column(0).take(pa.array(rows.ravel())), pa.array(np.take_along_axis(exact, place, axis=1).ravel())], names=["id", "other", "sim"])
+                yield pa.RecordBatch.from_arrays([names, batch.column(0).take(pa.array(rows.ravel())), pa.array(np.take_along_axis(exact, place, axis=1).ravel())], names=["id", "others", "sim"])
 
     return run
 
@@ -362,25 +362,27 @@ def search(df: DataFrame, queries: DataFrame, *, key: str = "id", embedding: str
     """One row (id, other, sim, rank) for the ``top`` most similar others of each query, found among all rows of ``df``.
 
     Unlike :func:`nearest` it has no least similarity and skips no cell: the
-    four-bit tables of all rows are scanned, and the best ``rerank`` of each
-    batch are compared exactly. Queries go in blocks of QUERY_BLOCK; each block
+    four-bit tables of all different vectors are scanned, and the best ``rerank``
+    of each batch are compared exactly; the ids of equal vectors are put back
+    afterwards. Queries go in blocks of QUERY_BLOCK; each block
     scans the stored rows once.
     """
     spark = df.sparkSession
     vectors = usable(df, key, embedding)
+    kinds = distinct_vectors(vectors, top + 1).select("ids", "vec")
     asked = usable(queries, key, embedding).select("id", "vec").dropDuplicates(["id"])
     model = fit(vectors, df.count())
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = spark.createDataFrame([], "id string, other string, sim double")
+    found = spark.createDataFrame([], "id string, others array<string>, sim double")
     if model is None:
-        return found.withColumn("rank", F.lit(1))
+        return found.select("id", F.lit("").alias("other"), "sim", F.lit(1).alias("rank"))
     index = spark.sparkContext.broadcast(model)
     for block in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
         if part.num_rows:
-            found = found.unionByName(vectors.select("id", "vec").mapInArrow(_search(index, part.column("id").to_pylist(), _matrix(part.column("vec")), top, rerank), "id string, other string, sim double"))
+            found = found.unionByName(kinds.mapInArrow(_search(index, part.column("id").to_pylist(), _matrix(part.column("vec")), top, rerank), "id string, others array<string>, sim double"))
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    lists = found.filter(F.col("id") != F.col("other")).dropDuplicates(["id", "other"])
+    lists = found.select("id", F.explode("others").alias("other"), "sim").filter(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.max("sim").alias("sim"))
     return lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 

@@ -72,3 +72,24 @@ def test_search_recall(spark):
         s[q] = -9
         hits += len({f"v{i:05}" for i in np.argsort(-s)[:5]} & {r["other"] for r in got if r["id"] == f"v{q:05}"})
     assert len(got) == 250 and hits >= 0.9 * 250
+
+
+def test_search_with_repeated_rows_and_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=96)
+    near = [one + 0.3 * rng.normal(size=96) for _ in range(12)]
+    vectors = [(f"n{i:02}", v) for i, v in enumerate(near)] + [(f"h{i:03}", one) for i in range(200)] + [(f"r{i:03}", rng.normal(size=96)) for i in range(300)]
+    vectors += [v for v in vectors if v[0][0] == "n"] * 3 + [vectors[20]] * 4
+    order = rng.permutation(len(vectors))
+    df = frame(spark, [vectors[i] for i in order])
+    got = {}
+    for r in S.search(df, df.filter("id in ('n00', 'n05', 'h150', 'h002', 'r007')")).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["other"]
+    known = {k: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for k, v in vectors}
+    for q, hits in got.items():
+        want = sorted((k for k in known if k != q), key=lambda k: (-round(float(known[k] @ known[q]), 12), k))[:5]
+        assert [hits[i] for i in range(1, 6)] == want
+    assert len(got) == 5
+    df = frame(spark, [v for v in vectors if v[0][0] == "n"])  # no vector is shared: repeats alone
+    rows = S.search(df, df.filter("id = 'n03'"), top=11).collect()
+    assert {r["other"] for r in rows} == {f"n{i:02}" for i in range(12)} - {"n03"}
