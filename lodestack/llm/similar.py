@@ -42,7 +42,7 @@ SAMPLE = 16_384
 #: Rows per cell that the number of cells aims at, and the most cells (400 bytes each, sent to every executor).
 CELL_ROWS, MOST_CELLS = 500, 4096
 #: Cells that a vector is compared in, its own one included.
-PROBES = 3
+PROBES = 4
 #: Rows of a cell that one task scans; larger cells are cut into blocks.
 BLOCK_ROWS = 16_384
 #: Candidates of the table scan that are reranked, per vector and cell.

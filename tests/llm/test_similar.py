@@ -93,3 +93,12 @@ def test_search_with_repeated_rows_and_equal_vectors(spark):
     df = frame(spark, [v for v in vectors if v[0][0] == "n"])  # no vector is shared: repeats alone
     rows = S.search(df, df.filter("id = 'n03'"), top=11).collect()
     assert {r["other"] for r in rows} == {f"n{i:02}" for i in range(12)} - {"n03"}
+
+
+def test_recall_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 12)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(60, 96))
+    vectors = [(f"v{i:04}", centers[i % 60] + 0.45 * rng.normal(size=96)) for i in range(2400)]
+    want = brute(vectors)
+    assert len(want & found(spark, vectors)) >= 0.995 * len(want)
