@@ -15,7 +15,8 @@
 
 Defined results: null, blank and unreadable texts have no rows; a bare list is
 read as the value of ``list_field``; a single object where others have a list
-is a list of one; null entries keep their position and have null columns;
+is a list of one; whether a value is a list, a map or a single object is seen
+in each record; recursive elements give rows at every depth; null entries keep their position and have null columns;
 columns that miss in a record are null; extra columns of the input are ignored.
 """
 
@@ -100,12 +101,13 @@ def schema_paths(roots: DataFrame, value: str = "value", maps: tuple[str, ...] =
 
 @dataclass
 class Edge:
-    """A repeated element below a table: where it is, and whether it is a map."""
+    """A repeated element below a table: where it is, whether it may be a map, and at which depths of nesting it was found."""
 
     table: str
     parent: str
     steps: tuple[str, ...]
     is_map: bool
+    depths: set[int] = field(default_factory=set)
 
 
 @dataclass
@@ -131,7 +133,9 @@ def inline(paths: dict[tuple[str, str], int], root: str = "document", lists: tup
         many = kinds[path] & {"list", "map"} or path.rpartition("/")[2] in lists
         return bool(many) and ("object" in kinds.get(path + "/*", set()) or "object" in kinds[path])
 
-    def descend(path: str, table: str, steps: tuple[str, ...]) -> None:
+    known: dict[tuple, Edge] = {}
+
+    def descend(path: str, table: str, steps: tuple[str, ...], depth: int) -> None:
         for child in sorted(below.get(path, [])):
             name = child.rpartition("/")[2]
             if name == "*":
@@ -139,20 +143,23 @@ def inline(paths: dict[tuple[str, str], int], root: str = "document", lists: tup
             here = (*steps, name)
             if repeated(child):
                 target = name
-                edge = Edge(target, table, here, "map" in kinds[child])
-                if edge not in plan.edges:
+                edge = known.get((target, table, here))
+                if edge is None:
+                    edge = known[target, table, here] = Edge(target, table, here, False)
                     plan.edges.append(edge)
                     plan.columns.setdefault(target, {})
-                    descend(child + "/*", target, ())
-                    descend(child, target, ())  # single objects outside a list
+                edge.is_map |= "map" in kinds[child]
+                edge.depths.add(depth)
+                descend(child + "/*", target, (), depth + 1)
+                descend(child, target, (), depth + 1)  # single objects outside a list
             elif "object" in kinds[child]:
-                descend(child, table, here)
+                descend(child, table, here, depth)
             else:
                 found = kinds[child] & {"number", "boolean", "text"} if "list" not in kinds[child] else {"text"}
                 before = plan.columns[table].get(here)
                 plan.columns[table][here] = found.pop() if len(found) == 1 and before in (None, *found) else "text"
 
-    descend("", root, ())
+    descend("", root, (), 0)
     return plan
 
 
@@ -163,19 +170,24 @@ def _json_path(steps: tuple[str, ...]) -> str:
 _SPARK_KIND = {"number": "double", "boolean": "boolean", "text": "string"}
 
 
-def _child(parent: DataFrame, edge: Edge, key: str) -> DataFrame:
+def _child(parent: DataFrame, edge: Edge, key: str, maps: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of an edge; each record's value is read as the list, the map or the single object that it is."""
     path = _json_path(edge.steps)
     here = F.concat_ws("/", F.col("node_id"), F.lit(".".join(edge.steps)))
     at = [F.col(key), F.lit(edge.parent).alias("parent"), F.col("node_id").alias("parent_id")]
-    if edge.is_map:
-        entries = F.map_entries(F.try_variant_get("value", path, "map<string,variant>"))
-        rows = parent.select(*at, here.alias("here"), F.posexplode(entries).alias("pos", "entry"))
-        return rows.select(key, "parent", "parent_id", F.concat_ws("/", "here", "entry.key").alias("node_id"), "pos", F.col("entry.key").alias("key"), F.col("entry.value").alias("value"))
+    none = F.lit(None).cast("string")
     one = F.try_variant_get("value", path, "variant")
-    single = F.when(F.schema_of_variant(one).startswith("OBJECT"), F.array(one))
-    many = F.when(F.schema_of_variant(one).startswith("ARRAY"), F.try_variant_get("value", path, "array<variant>"))
-    rows = parent.select(*at, here.alias("here"), F.posexplode(F.coalesce(many, single)).alias("pos", "value"))
-    return rows.select(key, "parent", "parent_id", F.concat_ws("/", "here", "pos").alias("node_id"), "pos", F.lit(None).cast("string").alias("key"), "value")
+    kind = F.schema_of_variant(one)
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    many = F.when(kind.startswith("ARRAY"), F.transform(F.try_variant_get("value", path, "array<variant>"), lambda v: entry(none, v)))
+    rows = F.coalesce(many, F.when(kind.startswith("OBJECT"), F.array(entry(none, one))))
+    if edge.is_map:
+        fields = F.try_variant_get("value", path, "map<string,variant>")
+        numbers = (F.size(fields) > 0) & F.forall(F.map_keys(fields), lambda k: k.rlike(r"^\p{Nd}+$"))
+        entries = F.when(kind.startswith("OBJECT") & (F.lit(edge.steps[-1] in maps) | numbers), F.transform(F.map_entries(fields), lambda e: entry(e["key"], e["value"])))
+        rows = F.coalesce(entries, rows)
+    found = parent.select(*at, here.alias("here"), F.posexplode(rows).alias("pos", "entry"))
+    return found.select(key, "parent", "parent_id", F.concat_ws("/", "here", F.coalesce("entry.key", F.col("pos").cast("string"))).alias("node_id"), "pos", F.col("entry.key").alias("key"), F.col("entry.value").alias("value"))
 
 
 def shred(
@@ -205,13 +217,16 @@ def shred(
     none = F.lit(None).cast("string")
     start = roots.select("record", none.alias("parent"), none.alias("parent_id"), F.col("record").alias("node_id"), F.lit(0).alias("pos"), none.alias("key"), "value")
     nodes: dict[str, DataFrame] = {root: start}
-    pending = list(plan.edges)
-    while pending:
-        ready = [e for e in pending if e.parent in nodes and not any(o.table == e.parent and o in pending for o in pending)]
-        for edge in ready or [e for e in pending if e.parent in nodes][:1]:  # of a recursive element the levels of the graph are unrolled once
-            rows = _child(nodes[edge.parent], edge, "record")
-            nodes[edge.table] = nodes[edge.table].unionByName(rows) if edge.table in nodes else rows
-            pending.remove(edge)
+    newest, depth = {root: start}, 0
+    while newest:  # one level of nesting after the other, as deep as the schema graph goes
+        level: dict[str, DataFrame] = {}
+        for edge in plan.edges:
+            if edge.parent in newest and depth in edge.depths:
+                rows = _child(newest[edge.parent], edge, "record", maps)
+                level[edge.table] = level[edge.table].unionByName(rows) if edge.table in level else rows
+        for name, rows in level.items():
+            nodes[name] = nodes[name].unionByName(rows) if name in nodes else rows
+        newest, depth = level, depth + 1
     tables = {}
     for name, rows in nodes.items():
         columns = [F.try_variant_get("value", _json_path(steps), _SPARK_KIND[kind]).alias(".".join(steps)) for steps, kind in sorted(plan.columns[name].items())]

@@ -42,3 +42,19 @@ def test_shared_and_recursive_elements_share_a_table():
     plan = nested.inline({("", "object"): 1, ("/node", "list"): 1, ("/node/*", "object"): 2, ("/node/*/name", "text"): 2, ("/node/*/node", "list"): 1, ("/node/*/node/*", "object"): 1, ("/node/*/node/*/name", "text"): 1})
     assert [(e.table, e.parent) for e in plan.edges] == [("node", "document"), ("node", "node")]
     assert plan.columns["node"] == {("name",): "text"}
+
+
+def test_lists_and_maps_of_one_element_side_by_side(spark):
+    docs = [{"results": [{"id": "a", "prov": [{"page_no": 1}]}, {"id": "b"}], "pages": [{"page_no": 5}]}, {"results": {"0": {"id": "c", "prov": {"0": {"page_no": 2}}}}, "pages": {"7": {"w": 1}}}, {"results": {"id": "d"}}]
+    t = shredded(spark, [json.dumps(d) for d in docs])
+    assert sorted((r["record"], r["pos"], r["id"]) for r in t["results"]) == [("0", 0, "a"), ("0", 1, "b"), ("1", 0, "c"), ("2", 0, "d")]
+    assert sorted((r["record"], r["page_no"]) for r in t["prov"]) == [("0", 1.0), ("1", 2.0)]
+    assert sorted((r["record"], r["key_"] or "", r["page_no"] or 0) for r in t["pages"]) == [("0", "", 5.0), ("1", "7", 0)]
+
+
+def test_recursive_elements_keep_every_level(spark):
+    doc = {"node": [{"name": "1", "kid": [{"v": 1}], "node": [{"name": "2", "kid": [{"v": 2}], "node": [{"name": "3", "kid": [{"v": 3}], "deep": True, "node": [{"name": "4"}]}]}]}]}
+    t = shredded(spark, [json.dumps(doc)])
+    assert sorted((r["name"], r["deep"]) for r in t["node"]) == [("1", None), ("2", None), ("3", True), ("4", None)]
+    assert sorted(r["v"] for r in t["kid"]) == [1.0, 2.0, 3.0]
+    assert {r["parent_id"] for r in t["kid"]} <= {r["node_id"] for r in t["node"]}
