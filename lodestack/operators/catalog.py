@@ -14,8 +14,13 @@ from lodestack.operators.filters import resolved_group_id
 
 
 def latest_rows(df: DataFrame, key: str = "id", order: str = "updated_at") -> DataFrame:
-    """Of each id the row with the latest ``order``; rows that were delivered again count once."""
-    newest = Window.partitionBy(key).orderBy(F.desc_nulls_last(order))
+    """Of each id the row with the latest ``order``; rows that were delivered again count once.
+
+    Of rows of one time the one with the larger values counts, column by
+    column, so the choice never hangs on the order of delivery.
+    """
+    ties = [F.desc_nulls_last(f.name) for f in df.schema if f.name not in (key, order) and f.dataType.typeName() not in ("map", "variant")]
+    newest = Window.partitionBy(key).orderBy(F.desc_nulls_last(order), *ties)
     return df.filter(F.col(key).isNotNull()).withColumn("__nth", F.row_number().over(newest)).filter(F.col("__nth") == 1).drop("__nth")
 
 
@@ -58,10 +63,22 @@ def new_documents(records: DataFrame) -> DataFrame:
 
 
 def unique_names(df: DataFrame, name: str, order: list[str], key: str = "id") -> DataFrame:
-    """``df`` with repeated names told apart: all but the first of a name get the start of their id appended."""
-    same = Window.partitionBy(name).orderBy(*order, key)
-    nth = F.row_number().over(same)
-    return df.withColumn(name, F.when((nth > 1) & F.col(name).isNotNull(), F.concat(F.col(name), F.lit("-"), F.substring(key, 1, 8))).otherwise(F.col(name)))
+    """``df`` with repeated names told apart: all but the first of a name get the start of their id appended.
+
+    The first of each name is an aggregate, so a name that very many rows share
+    never gathers in one task.
+    """
+    place = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in (*order, key)])  # nulls come first
+    first = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(place).alias("__first"))
+    joined = df.join(first, F.col(name) == F.col("__name"), "left")
+    return joined.withColumn(name, F.when(place != F.col("__first"), F.concat(F.col(name), F.lit("-"), F.substring(key, 1, 8))).otherwise(F.col(name))).drop("__name", "__first")
+
+
+def duplicate_slugs(groups: DataFrame) -> DataFrame:
+    """Groups (id, slug, first_id) whose trimmed, lower-case slug an earlier group (by id) has already."""
+    slug = F.lower(F.trim("slug"))
+    named = groups.select("id", slug.alias("slug")).filter(F.col("slug").isNotNull() & (F.col("slug") != ""))
+    return named.join(named.groupBy("slug").agg(F.min("id").alias("first_id")), "slug").filter(F.col("id") != F.col("first_id")).select("id", "slug", "first_id")
 
 
 def backfill_groups(documents: DataFrame, groups: DataFrame, tenant: str, default: str) -> DataFrame:

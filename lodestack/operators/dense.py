@@ -16,11 +16,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors per block: at 1,024 dimensions 8 MB.
-BLOCK = 1024
+#: Query vectors per block, each of which scans the stored vectors once: at 1,024 dimensions 67 MB.
+BLOCK = 8192
 
 
 def _units(lists: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,35 +35,57 @@ def _units(lists: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return good[fine], rows[fine] / size[fine][:, None]
 
 
-def _scan(ids: list, units: np.ndarray, k: int, out: pa.Schema):
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the ``k`` largest entries of each row, exactly ``k`` where there are as many; of equal ones the first columns."""
+    if scores.shape[1] <= k:
+        q, at = np.nonzero(np.ones_like(scores, bool))
+        return q, at, scores[q, at]
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = scores > least, scores == least
+    room = k - above.sum(axis=1, keepdims=True)
+    q, at = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
+    return q, at, scores[q, at]
+
+
+def _scan(ids: list, units: np.ndarray, k: int, out: pa.Schema, groups: list | None = None):
+    number = {g: i for i, g in enumerate(dict.fromkeys(g for g in groups or [] if g is not None))}
+    wanted = np.array([number.get(g, -1) for g in groups or []])  # -1 asks for all groups
+
     def run(batches):
         for batch in batches:
             rows, vectors = _units(batch.column(1), units.shape[1])
             if not len(rows):
                 continue
-            scores = np.round(units @ vectors.T, 6)
-            if len(rows) > k:
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                q, at = np.nonzero(scores >= least[:, None])  # equal scores stay for the tie-break
-            else:
-                q, at = np.nonzero(np.ones_like(scores, bool))
-            columns = [pa.array([ids[i] for i in q], out.field(0).type), batch.column(0).take(pa.array(rows[at])), pa.array(scores[q, at])]
-            yield pa.RecordBatch.from_arrays(columns, schema=out)
+            by_key = np.asarray(pc.sort_indices(batch.column(0).take(pa.array(rows))))  # smaller keys first, for ties
+            rows, vectors = rows[by_key], vectors[by_key]
+            for at in range(0, len(units), 512):
+                near = np.round(units[at : at + 512] @ vectors.T, 6)
+                if groups is not None:
+                    own = np.array([number.get(g, -2) for g in batch.column(2).take(pa.array(rows)).to_pylist()])
+                    mine = wanted[at : at + 512, None]
+                    near[(mine >= 0) & (mine != own[None, :])] = -9.0
+                q, found, scores = _top(near, k)
+                inside = scores > -9.0
+                q, found, scores = q[inside], found[inside], scores[inside]
+                columns = [pa.array([ids[at + i] for i in q], out.field(0).type), batch.column(0).take(pa.array(rows[found])), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return run
 
 
-def knn(queries: DataFrame, stored: DataFrame, k: int, qid: str = "qid", key: str = "id", embedding: str = "embedding", exclude_self: bool = False) -> DataFrame:
+def knn(queries: DataFrame, stored: DataFrame, k: int, qid: str = "qid", key: str = "id", embedding: str = "embedding", exclude_self: bool = False, group: str | None = None) -> DataFrame:
     """One row (qid, key, score, rank) per query and each of its ``k`` most similar stored vectors.
 
     ``queries`` has (qid, embedding), ``stored`` (key, embedding); filters on
-    either are the caller's, before the call, and reach the scan.
+    either are the caller's, before the call, and reach the scan. ``group``
+    names a text column of both: a query that has a value finds only rows with it.
     """
     q_type, s_type = queries.schema[qid].dataType, stored.schema[key].dataType
     shape = f"qid {q_type.simpleString()}, `{key}` {s_type.simpleString()}, score double"
     out = stored.sparkSession.createDataFrame([], shape).toArrow().schema
-    vectors = stored.select(F.col(key), F.col(embedding).cast("array<double>"))
-    asked = queries.select(F.col(qid).alias("qid"), F.col(embedding).cast("array<double>").alias("v")).filter(F.size("v") > 0).distinct()
+    extra = [] if group is None else [F.trim(group).alias("g")]
+    vectors = stored.select(F.col(key), F.col(embedding).cast("array<double>"), *extra)
+    asked = queries.select(F.col(qid).alias("qid"), F.col(embedding).cast("array<double>").alias("v"), *extra).filter(F.size("v") > 0).distinct()
     n = asked.count()
     blocks = max(1, -(-n // BLOCK))
     found = []
@@ -73,7 +96,8 @@ def knn(queries: DataFrame, stored: DataFrame, k: int, qid: str = "qid", key: st
             continue
         lists = part.column("v").combine_chunks()
         rows, units = _units(lists, len(lists[0].as_py()))
-        found.append(vectors.mapInArrow(_scan([ids[i] for i in rows], units, k + exclude_self, out), shape))
+        groups = None if group is None else [part.column("g")[int(i)].as_py() for i in rows]
+        found.append(vectors.mapInArrow(_scan([ids[i] for i in rows], units, k + exclude_self, out, groups), shape))
     if not found:
         return stored.sparkSession.createDataFrame([], shape + ", rank bigint")
     hits = reduce(DataFrame.unionByName, found).filter(F.col("score").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import Analyzer, words
+from lodestack.sources.models import Scorer, coverage_scorer, score_pairs
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
@@ -32,9 +33,23 @@ def term_coverage(query: Column, content: Column, analyzer: Analyzer = words) ->
     return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, analyzer(content))), F.size(asked)), F.lit(0.0))
 
 
-def rerank(hits: DataFrame, top_n: int, input_k: int = 50, chars: int = 4000, scorer: Callable[[Column, Column], Column] = term_coverage) -> DataFrame:
-    """Hits (qid, query, content, rank, ...) with ``rerank_score`` and a new ``rank``; the first ``input_k`` are scored, equal scores keep their order."""
-    scored = hits.filter(F.col("rank") <= input_k).withColumn("rerank_score", F.round(scorer(F.col("query"), F.substring("content", 1, chars)), 6))
+def rerank(hits: DataFrame, top_n: int, input_k: int = 50, chars: int | None = None, scorer: Callable[[Column, Column], Column] = term_coverage) -> DataFrame:
+    """Hits (qid, query, content, rank, ...) with ``rerank_score`` and a new ``rank``; the first ``input_k`` are scored, equal scores keep their order.
+
+    Whole texts are scored; ``chars`` cuts them for external models that take no more.
+    """
+    content = F.col("content") if chars is None else F.substring("content", 1, chars)
+    scored = hits.filter(F.col("rank") <= input_k).withColumn("rerank_score", F.round(scorer(F.col("query"), content), 6))
+    return _reranked(scored, top_n)
+
+
+def rerank_by_model(hits: DataFrame, top_n: int, factory: Callable[[], Scorer] = coverage_scorer, input_k: int = 50, batch: int = 16, chars: int = 4000) -> DataFrame:
+    """The same by a model that takes batches of (query, text) pairs; its texts are cut at ``chars``."""
+    scored = score_pairs(hits.filter(F.col("rank") <= input_k), "query", "content", factory, batch, chars)
+    return _reranked(scored.withColumn("rerank_score", F.round("rerank_score", 6)), top_n)
+
+
+def _reranked(scored: DataFrame, top_n: int) -> DataFrame:
     best = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "rank")
     return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= top_n)
 

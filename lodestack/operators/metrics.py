@@ -14,10 +14,20 @@ def per_query(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row (qid, recall, mrr, ndcg) per query of either table."""
     wanted = relevant.select("qid", "id").distinct()
     sizes = wanted.groupBy("qid").agg(F.count("*").alias("n"))
-    hits = results.join(wanted, ["qid", "id"]).groupBy("qid").agg(
+    judged = results.join(wanted.withColumn("hit", F.lit(True)), ["qid", "id"], "left").fillna({"hit": False})
+    return per_judged(judged, sizes, k)
+
+
+def per_judged(results: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """The same from judged results (qid, rank, hit) and the number of relevant entries (qid, n) of each query.
+
+    Nothing is joined but one row per query, so it fits relevance that follows
+    from a property (a label, a group) shared by very many entries.
+    """
+    hits = results.filter("hit").groupBy("qid").agg(
         F.count_if(F.col("rank") <= k).alias("found"), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1))).alias("dcg")
     )
-    asked = results.select("qid").unionByName(relevant.select("qid")).distinct()
+    asked = results.select("qid").unionByName(sizes.select("qid")).distinct()
     joined = asked.join(sizes, "qid", "left").join(hits, "qid", "left").fillna({"n": 0, "found": 0, "dcg": 0.0})
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return joined.select(
@@ -40,22 +50,30 @@ def gate(means: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return means.select(rows.alias("x")).select("x.*").withColumn("passed", F.col("value") >= F.col("threshold"))
 
 
-def latency(df: DataFrame, group: str, value: str) -> DataFrame:
+def latency(df: DataFrame, group: str, value: str, slices: int = 256) -> DataFrame:
     """Per group n, mean, median and the 95th percentile (the value at place floor(0.95 n), at least the first).
 
-    Equal values are counted before anything is sorted, so a hot group shuffles
-    its distinct values only.
+    Exact, without a task that sees a whole group: values are counted in
+    ``slices`` equal ranges between the group's ends, the running counts tell
+    which range holds each wanted place, and only the values of those ranges
+    are ranked, equal ones counted before. Null groups and values that are null
+    or not a number are left out.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(group).orderBy(value)
-    every = Window.partitionBy(group)
-    ranked = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(every))
-    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(value)))
+    given = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter(F.col("g").isNotNull() & ~F.isnan("v"))
+    ends = given.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"), F.avg("v").alias("mean"))
+    place = F.floor(F.try_divide(F.col("v") - F.col("low"), (F.col("high") - F.col("low")) / slices))
+    cut = given.join(ends.select("g", "low", "high"), "g").select("g", "v", F.least(F.coalesce(place, F.lit(0)), F.lit(slices - 1)).alias("slice"))
+    sizes = cut.groupBy("g", "slice").agg(F.count("*").alias("held"))
+    earlier = Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most ``slices`` rows a group
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
     n = F.col("n")
-    return ranked.groupBy(group).agg(
-        F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 6).alias("mean"),
-        F.round((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2, 6).alias("median"), at(F.greatest(F.floor(n * 0.95), F.lit(1))).alias("p95"),
-    )
+    wanted = {"lower": F.floor((n + 1) / 2), "upper": F.floor(n / 2) + 1, "p95": F.greatest(F.floor(n * 0.95), F.lit(1))}
+    asked = ends.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), v.alias("at")) for k, v in wanted.items()])).alias("w")).select("g", "w.what", "w.at")
+    spots = sizes.join(asked, "g").filter((F.col("at") > F.col("before")) & (F.col("at") <= F.col("before") + F.col("held"))).select("g", "slice", "what", (F.col("at") - F.col("before")).alias("at"))
+    near = cut.join(spots.select("g", "slice").distinct(), ["g", "slice"], "left_semi").groupBy("g", "slice", "v").agg(F.count("*").alias("c"))
+    ranked = near.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "slice").orderBy("v")))
+    picked = spots.join(ranked, ["g", "slice"]).filter(F.col("upto") >= F.col("at")).groupBy("g").agg(*[F.min(F.when(F.col("what") == k, F.col("v"))).alias(k) for k in wanted])
+    return ends.join(picked, "g").select(F.col("g").alias(group), "n", F.round("mean", 6).alias("mean"), F.round((F.col("lower") + F.col("upper")) / 2, 6).alias("median"), "p95")
 
 
 def histogram(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:

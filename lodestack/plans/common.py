@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators.catalog import latest_rows
@@ -10,11 +10,18 @@ from lodestack.session import table
 
 WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 TOKENS = r"len(regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'))"
+#: The stated query set among rows with UUIDs: those whose first eight digits are a number divisible by 50.
+FIFTIETH = "try_cast('0x' || substr({0}, 1, 8) AS BIGINT) % 50 = 0"
 CHUNK = "chunk AS (SELECT * FROM rag_chunk QUALIFY row_number() OVER (PARTITION BY id) = 1)"
 DOC = "doc AS (SELECT * FROM rag_document QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1)"
 ITEM = "item AS (SELECT * FROM result_item QUALIFY row_number() OVER (PARTITION BY id) = 1)"
 
 
+def fiftieth(uuid: Column) -> Column:
+    """Whether an id belongs to the stated query set; see FIFTIETH."""
+    return F.conv(F.substring(uuid, 1, 8), 16, 10).cast("bigint") % 50 == 0
+
+
 def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The chunk table, rows that were delivered twice once; only ``columns`` are read."""
     return table(spark, sf_dir, "rag_chunk").select(*columns).dropDuplicates(["id"])

@@ -12,12 +12,17 @@ from .retrieval import _asked, _knn_sql
 
 
 def _quality(spark, sf_dir, k=10):
-    """Quality of the exact search where the relevant vectors are those with the query's label."""
+    """Quality of the exact search where the relevant vectors are those with the query's label.
+
+    The relevant ones are counted by label; only the found ones are looked at one by one.
+    """
     vectors = table(spark, sf_dir, "embeddings")
-    results = dense.knn(_asked(spark, sf_dir), vectors, 20, key="vec_id", exclude_self=True).select("qid", F.col("vec_id").alias("id"), "rank")
-    labels = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), "label")
-    relevant = labels.join(vectors.select(F.col("vec_id").alias("id"), "label"), "label").filter(F.col("qid") != F.col("id")).select("qid", "id")
-    return metrics.per_query(results, relevant, k)
+    labels = vectors.select("vec_id", "label")
+    results = dense.knn(_asked(spark, sf_dir), vectors, 20, key="vec_id", exclude_self=True).select("qid", "vec_id", "rank")
+    asked = labels.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted"))
+    judged = results.join(asked, "qid").join(labels, "vec_id").select("qid", "rank", F.coalesce(F.col("label") == F.col("wanted"), F.lit(False)).alias("hit"))
+    sizes = asked.join(labels.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("n")), "wanted").select("qid", "n")
+    return metrics.per_judged(judged, sizes, k)
 
 
 def recall_at_k(spark, sf_dir):

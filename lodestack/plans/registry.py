@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, evaluation, ingest, retrieval, terms
+from . import catalog, evaluation, ingest, pipeline, retrieval, terms
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict = {}
-    for module in (retrieval, ingest, terms, evaluation, catalog):
+    for module in (retrieval, pipeline, ingest, terms, evaluation, catalog):
         found |= module.queries()
     return found

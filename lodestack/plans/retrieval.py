@@ -10,7 +10,7 @@ from lodestack.functions import text as T
 from lodestack.operators import context, dense, filters, fusion, sparse
 from lodestack.session import table
 
-from .common import CHUNK, DOC, TOKENS, WORDS, chunks, documents
+from .common import CHUNK, DOC, FIFTIETH, TOKENS, WORDS, chunks, documents, fiftieth
 
 # ------------------------------------------------------------------- dense
 
@@ -36,14 +36,14 @@ def dense_filtered_label(spark, sf_dir):
 
 
 def dense_chunks(spark, sf_dir):
-    """Search among the chunks of completed documents, as hits with their file names."""
+    """Search among the chunks of completed documents, as hits with their file names; queries are the vectors of the stated query set."""
     stored = filters.searchable_dense(chunks(spark, sf_dir, "id", "doc_id", "chunk_index", "page", "type", "embedding"))
     live = filters.completed(documents(spark, sf_dir, "filename", "status")).select(F.col("id").alias("doc_id"), "filename")
     stored = stored.join(live, "doc_id")
-    query = stored.filter(F.size("embedding") == 96).orderBy("id").limit(1).select(F.lit("q").alias("qid"), "embedding")
+    query = stored.filter((F.size("embedding") == 96) & fiftieth(F.col("id"))).select(F.col("id").alias("qid"), "embedding")
     hits = dense.knn(query, stored, DEFAULTS.dense_k)
     named = hits.join(stored.drop("embedding"), "id")
-    return named.select(F.col("id").alias("chunk_id"), "doc_id", F.coalesce("filename", F.lit("")).alias("filename"), "page", F.coalesce("type", F.lit("")).alias("type"), "chunk_index", "score", "rank")
+    return named.select("qid", F.col("id").alias("chunk_id"), "doc_id", F.coalesce("filename", F.lit("")).alias("filename"), "page", F.coalesce("type", F.lit("")).alias("type"), "chunk_index", "score", "rank")
 
 
 def ann_lsh(spark, sf_dir):
@@ -70,8 +70,12 @@ def postings_df(spark, sf_dir):
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _chunk_index(spark, sf_dir):
-    return sparse.postings(chunks(spark, sf_dir, "id", "content").withColumnRenamed("id", "chunk_id"), "chunk_id", "content")
+def _chunk_texts(spark, sf_dir):
+    return chunks(spark, sf_dir, "id", "content").withColumnRenamed("id", "chunk_id")
+
+
+def _chunk_index(spark, sf_dir, terms):
+    return sparse.index_for(terms, _chunk_texts(spark, sf_dir), "chunk_id", "content")
 
 
 def _term_queries(spark, sf_dir):
@@ -80,7 +84,8 @@ def _term_queries(spark, sf_dir):
 
 def sparse_and(spark, sf_dir):
     """Chunks that have every word of a standard term, for all enabled terms at once."""
-    return sparse.boolean_match(_term_queries(spark, sf_dir), _chunk_index(spark, sf_dir), "chunk_id")
+    terms = _term_queries(spark, sf_dir)
+    return sparse.boolean_match(terms, _chunk_index(spark, sf_dir, terms), "chunk_id")
 
 
 def sparse_or_group(spark, sf_dir):
@@ -88,22 +93,24 @@ def sparse_or_group(spark, sf_dir):
     terms = table(spark, sf_dir, "glossary_term").filter("enabled")
     names = F.concat(F.array("standard_term"), F.coalesce("synonyms", F.array().cast("array<string>")))
     grouped = terms.select(F.col("id").alias("qid"), F.lit(0).alias("grp"), F.explode(F.array_distinct(F.flatten(F.transform(names, T.words)))).alias("term"))
-    return sparse.boolean_match(grouped, _chunk_index(spark, sf_dir), "chunk_id").groupBy("qid").agg(F.count("*").alias("n_chunks"))
+    return sparse.boolean_match(grouped, _chunk_index(spark, sf_dir, grouped), "chunk_id").groupBy("qid").agg(F.count("*").alias("n_chunks"))
 
 
 def sparse_bm25(spark, sf_dir):
-    return sparse.bm25(_term_queries(spark, sf_dir), _chunk_index(spark, sf_dir), "chunk_id", k=10)
+    """The best 10 chunks that share any word with a standard term."""
+    terms = _term_queries(spark, sf_dir)
+    return sparse.bm25(terms, _chunk_index(spark, sf_dir, terms), sparse.totals(_chunk_texts(spark, sf_dir), "content"), "chunk_id", k=10)
 
 
 _CHUNK_TERMS = f"{CHUNK}, idx AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT id AS chunk_id, unnest({WORDS.format('content')}) AS term FROM chunk) GROUP BY 1, 2)"
 _ASKED_TERMS = f"asked AS (SELECT DISTINCT id AS qid, unnest({WORDS.format('standard_term')}) AS term FROM glossary_term WHERE enabled)"
 
 
-def _bm25_sql(key: str, k: int | None = None) -> str:
+def _bm25_sql(key: str, k: int | None = None, matched: str = "") -> str:
     return f"""lens AS (SELECT {key}, sum(tf) AS len FROM idx GROUP BY 1), tot AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
         dfs AS (SELECT term, count(*) AS df FROM idx GROUP BY 1),
         scored AS (SELECT qid, {key}, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 6) AS score
-          FROM asked JOIN dfs USING (term) JOIN idx USING (term) JOIN lens USING ({key}), tot GROUP BY 1, 2),
+          FROM asked JOIN dfs USING (term) JOIN idx USING (term) JOIN lens USING ({key}) {matched}, tot GROUP BY 1, 2),
         ranked AS (SELECT qid, {key}, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {key}) AS rank FROM scored {'QUALIFY rank <= ' + str(k) if k else ''})"""
 
 
@@ -111,7 +118,10 @@ def _bm25_sql(key: str, k: int | None = None) -> str:
 
 
 def _hybrid_lists(spark, sf_dir):
-    """Dense and sparse lists for the stated query set: a query is a vector with the first 8 words of its document."""
+    """Dense and sparse lists for the stated query set: a query is a vector with the first 8 words of its document.
+
+    The sparse list ranks the documents that have every word of the query.
+    """
     vectors = table(spark, sf_dir, "embeddings")
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -119,7 +129,7 @@ def _hybrid_lists(spark, sf_dir):
     asked = _asked(spark, sf_dir).select(F.col("qid").alias("doc_id")).join(texts, "doc_id")
     asked = asked.select(F.col("doc_id").alias("qid"), F.array_join(F.slice(T.words(F.col("text")), 1, 8), " ").alias("query"))
     terms = sparse.query_terms(asked, "qid", "query")
-    worded = sparse.bm25(terms, sparse.postings(texts, "doc_id", "text"), "doc_id", k=DEFAULTS.sparse_k)
+    worded = sparse.search(terms, texts, "doc_id", "text", DEFAULTS.sparse_k)
     return near, worded, asked, texts
 
 
@@ -157,14 +167,24 @@ def rerank_topn(spark, sf_dir):
     near, worded, asked, texts = _hybrid_lists(spark, sf_dir)
     fused = fusion.reciprocal_rank_fusion([near, worded], "doc_id", DEFAULTS.rrf_k)
     hits = fused.join(asked, "qid").join(texts.withColumnRenamed("text", "content"), "doc_id")
-    best = fusion.rerank(hits, DEFAULTS.rerank_top_n, DEFAULTS.rerank_input_k, DEFAULTS.rerank_chars)
+    best = fusion.rerank(hits, DEFAULTS.rerank_top_n, DEFAULTS.rerank_input_k)
     return best.select("qid", "doc_id", fusion.final_score("rerank_score", "rrf_score").alias("score"), "rank")
 
 
+def rerank_model(spark, sf_dir):
+    """The same through the seam for batched models, whose texts are cut at 4,000 characters."""
+    near, worded, asked, texts = _hybrid_lists(spark, sf_dir)
+    fused = fusion.reciprocal_rank_fusion([near, worded], "doc_id", DEFAULTS.rrf_k)
+    hits = fused.join(asked, "qid").join(texts.withColumnRenamed("text", "content"), "doc_id")
+    best = fusion.rerank_by_model(hits, DEFAULTS.rerank_top_n, input_k=DEFAULTS.rerank_input_k, chars=DEFAULTS.rerank_chars)
+    return best.select("qid", "doc_id", F.col("rerank_score").alias("score"), "rank")
+
+
 _LISTS = f"""idx AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY 1, 2),
     query AS (SELECT doc_id AS qid, list_slice({WORDS.format('text')}, 1, 8) AS w FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 50 = 0),
     asked AS (SELECT DISTINCT qid, unnest(w) AS term FROM query),
-    near AS (SELECT qid, vec_id AS doc_id, score, rank FROM ({_knn_sql(50)})), {_bm25_sql('doc_id', 50)}"""
+    near AS (SELECT qid, vec_id AS doc_id, score, rank FROM ({_knn_sql(50)})), need AS (SELECT qid, count(*) AS needed FROM asked GROUP BY 1),
+    met AS (SELECT qid, doc_id FROM asked JOIN idx USING (term) JOIN need USING (qid) GROUP BY qid, doc_id, needed HAVING count(*) = needed), {_bm25_sql('doc_id', 50, 'JOIN met USING (qid, doc_id)')}"""
 _FUSED = """fused AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score, min(src * 1000000 + rank) AS seen
     FROM (SELECT 0 AS src, qid, doc_id, rank FROM near UNION ALL SELECT 1, qid, doc_id, rank FROM ranked) GROUP BY 1, 2),
     best AS (SELECT qid, doc_id, rrf_score, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, seen) AS rank FROM fused)"""
@@ -221,12 +241,15 @@ _BUDGET = f"""{_CITED}, headed AS (SELECT *, '[' || rank || '] Source: ' || file
 
 def queries():
     found = [dense_knn, dense_knn_batch, dense_filtered_label, dense_chunks, ann_lsh, token_stats, postings_df, sparse_and, sparse_or_group, sparse_bm25, mode_dense, mode_sparse, rrf_fuse]
-    found += [rrf_single_source, hybrid_topk, no_rerank_topn, rerank_topn, expand_parent, nearest_preceding, citation_rank, context_budget, fallback_answer]
+    found += [rrf_single_source, hybrid_topk, no_rerank_topn, rerank_topn, rerank_model, expand_parent, nearest_preceding, citation_rank, context_budget, fallback_answer]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    cover = f"""round(len(list_filter(list_distinct(q.w), lambda x: list_contains({WORDS.format("substring(d.text, 1, 4000)")}, x)))::DOUBLE / nullif(len(list_distinct(q.w)), 0), 6)"""
+    cover = "round(len(list_filter(list_distinct(q.w), lambda x: list_contains({0}, x)))::DOUBLE / nullif(len(list_distinct(q.w)), 0), 6)"
+    reranked = """WITH {0}, s AS (SELECT b.qid, b.doc_id, coalesce({1}, 0.0) AS score, b.rank AS old FROM best b JOIN query q USING (qid) JOIN documents d USING (doc_id) WHERE b.rank <= 50)
+            SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old) AS rank FROM s QUALIFY rank <= 5"""
+    fused = f"{_LISTS}, {_FUSED}"
     return {
         "dense_knn": """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
             s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS score FROM embeddings)
@@ -234,8 +257,8 @@ def oracle_sql():
         "dense_knn_batch": _knn_sql(5, where="q.vec_id <> e.vec_id"),
         "dense_filtered_label": _knn_sql(5, where="e.label = 3"),
         "dense_chunks": f"""WITH {CHUNK}, {DOC}, s AS (SELECT c.*, d.filename FROM chunk c JOIN doc d ON d.id = c.doc_id WHERE d.status = 'completed' AND len(embedding) = 96),
-            q AS (SELECT embedding::DOUBLE[] AS v FROM s ORDER BY id LIMIT 1), r AS (SELECT *, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS score FROM s)
-            SELECT id AS chunk_id, doc_id, coalesce(filename, '') AS filename, page, coalesce(type, '') AS type, chunk_index, score, row_number() OVER (ORDER BY score DESC, id) AS rank
+            q AS (SELECT id AS qid, embedding::DOUBLE[] AS v FROM s WHERE {FIFTIETH.format('id')}), r AS (SELECT s.*, qid, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM s, q)
+            SELECT qid, id AS chunk_id, doc_id, coalesce(filename, '') AS filename, page, coalesce(type, '') AS type, chunk_index, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
             FROM r WHERE NOT isnan(score) AND score IS NOT NULL QUALIFY rank <= 50""",
         "token_stats": f"SELECT doc_id, len({WORDS.format('text')}) AS n_tokens, len(list_distinct({WORDS.format('text')})) AS n_distinct FROM documents",
         "postings_df": f"""WITH t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents)
@@ -251,8 +274,8 @@ def oracle_sql():
         "rrf_single_source": f"WITH {_LISTS} SELECT qid, doc_id, round(1.0::DOUBLE / (60 + rank), 9) AS rrf_score, rank FROM ranked",
         "hybrid_topk": f"WITH {_LISTS}, {_FUSED} SELECT qid, doc_id, rrf_score AS score, rank, {_SNIPPET.format('text')} AS snippet FROM best LEFT JOIN documents USING (doc_id) WHERE rank <= 10",
         "no_rerank_topn": f"WITH {_LISTS}, {_FUSED} SELECT qid, doc_id, rrf_score, rank FROM best WHERE rank <= 5",
-        "rerank_topn": f"""WITH {_LISTS}, {_FUSED}, s AS (SELECT b.qid, b.doc_id, coalesce({cover}, 0.0) AS score, b.rank AS old FROM best b JOIN query q USING (qid) JOIN documents d USING (doc_id) WHERE b.rank <= 50)
-            SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old) AS rank FROM s QUALIFY rank <= 5""",
+        "rerank_topn": reranked.format(fused, cover.format(WORDS.format("d.text"))),
+        "rerank_model": reranked.format(fused, cover.format(WORDS.format("substring(d.text, 1, 4000)"))),
         "expand_parent": f"""WITH {CHUNK}, j AS (SELECT c.doc_id AS qid, c.id, c.type, c.content, c.chunk_index + 1 AS rank, p.id AS pid, coalesce(p.content, '') AS pcontent FROM chunk c LEFT JOIN chunk p ON c.type = 'table_row' AND c.parent_chunk_id = p.id),
             o AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY qid, coalesce('p:' || pid, 'c:' || rank) ORDER BY rank) = 1)
             SELECT qid, coalesce(pid, id) AS chunk_id, CASE WHEN pid IS NOT NULL THEN 'table' ELSE type END AS type, CASE WHEN pid IS NOT NULL THEN pcontent ELSE content END AS content, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM o""",

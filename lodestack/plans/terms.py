@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestack.operators import glossary, sparse
-from lodestack.session import table
+from lodestack.session import checkpointed, table
 
-from .common import chunks
+from .common import CHUNK, WORDS, chunks
 
 
 def _terms(spark, sf_dir):
@@ -19,7 +19,7 @@ def _segments(spark, sf_dir):
     asked = table(spark, sf_dir, "eval_item").select(F.col("item_id").alias("qid"), F.col("question").alias("query"))
     asked = asked.unionByName(_terms(spark, sf_dir).select(F.col("id").alias("qid"), F.concat_ws(" ", "standard_term", "definition").alias("query")))
     known = glossary.surfaces(_terms(spark, sf_dir))
-    return glossary.segments(asked, known), known
+    return checkpointed(glossary.segments(asked, known)), known
 
 
 def glossary_surfaces(spark, sf_dir):
@@ -38,8 +38,9 @@ def glossary_expand_terms(spark, sf_dir):
 def glossary_matches(spark, sf_dir):
     """Chunks that match the expanded queries: gaps by every word, surfaces by any alias."""
     parts, known = _segments(spark, sf_dir)
-    index = sparse.postings(chunks(spark, sf_dir, "id", "content").withColumnRenamed("id", "chunk_id"), "chunk_id", "content")
-    return sparse.boolean_match(glossary.expanded_terms(parts, known), index, "chunk_id")
+    terms = checkpointed(glossary.expanded_terms(parts, known))
+    index = sparse.index_for(terms, chunks(spark, sf_dir, "id", "content").withColumnRenamed("id", "chunk_id"), "chunk_id", "content")
+    return sparse.boolean_match(terms, index, "chunk_id")
 
 
 def glossary_definitions(spark, sf_dir):
@@ -68,12 +69,53 @@ def queries():
     return {f.__name__: f for f in found}
 
 
+_CLEAN = "list_distinct(list_filter(list_transform(list_prepend(standard_term, coalesce(synonyms, [])), lambda v: trim(v)), lambda v: v IS NOT NULL AND v <> ''))"
+_KNOWN = f"""known AS (SELECT surface, list_sort(list_distinct(flatten(list(aliases)))) AS aliases, arg_min(standard, id) AS standard FROM
+      (SELECT id, trim(standard_term) AS standard, {_CLEAN} AS aliases, unnest({_CLEAN}) AS surface FROM glossary_term WHERE enabled AND coalesce(trim(standard_term), '') <> '') GROUP BY surface)"""
+_DEFINED = """defined AS (SELECT trim(standard_term) AS standard, arg_max(trim(definition), id) AS definition FROM glossary_term WHERE enabled AND trim(standard_term) <> '' AND trim(definition) <> '' GROUP BY 1)"""
+
+
+def segments_sql(asked: str) -> str:
+    """The CTEs from ``asked`` (qid, query) to ``seg`` (qid, seg, segment, surface)."""
+    return f"""{_KNOWN}, names AS (SELECT lower(surface) AS folded, min(surface) AS surface FROM known GROUP BY 1), widths AS (SELECT DISTINCT length(folded) AS n FROM names),
+        spots AS (SELECT qid, query, unnest(generate_series(1, length(query))) AS start FROM {asked} WHERE regexp_matches(query, '\\S')),
+        hit AS (SELECT qid, start, start + n AS stop, names.surface FROM spots, widths JOIN names ON names.folded = lower(substr(query, start, n)) AND length(names.folded) = n WHERE start + n <= length(query) + 1),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stop - start DESC, surface, start) AS i FROM hit),
+        walk AS (SELECT DISTINCT qid, 0::BIGINT AS i, []::STRUCT(start BIGINT, stop BIGINT, surface VARCHAR)[] AS held FROM ordered UNION ALL
+          SELECT o.qid, o.i, CASE WHEN len(list_filter(held, lambda k: k.start < o.stop AND o.start < k.stop)) > 0 THEN held
+            ELSE list_append(held, struct_pack(start := o.start::BIGINT, stop := o.stop::BIGINT, surface := o.surface)) END FROM walk JOIN ordered o ON o.qid = walk.qid AND o.i = walk.i + 1),
+        stand AS (SELECT qid, h.start AS start, h.stop AS stop, h.surface AS surface FROM (SELECT qid, unnest(arg_max(held, i)) AS h FROM walk GROUP BY qid)),
+        edge AS (SELECT a.qid, a.query, s.start, s.stop, s.surface, lag(s.stop, 1, 1) OVER (PARTITION BY a.qid ORDER BY s.start) AS behind FROM {asked} a JOIN stand s USING (qid)),
+        piece AS (SELECT qid, behind AS spot, substr(query, behind, start - behind) AS segment, NULL AS surface FROM edge WHERE start > behind AND regexp_matches(substr(query, behind, start - behind), '\\S')
+          UNION ALL SELECT qid, start, substr(query, start, stop - start), surface FROM edge
+          UNION ALL SELECT qid, coalesce(stop, 1), substr(query, coalesce(stop, 1)), NULL FROM {asked} LEFT JOIN (SELECT qid, max(stop) AS stop FROM stand GROUP BY 1) USING (qid) WHERE regexp_matches(substr(query, coalesce(stop, 1)), '\\S')),
+        seg AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY spot) - 1 AS seg, segment, surface FROM piece)"""
+
+
+def expand_sql(asked: str) -> str:
+    """The CTEs from ``asked`` to ``terms`` (qid, grp, term)."""
+    return f"""{segments_sql(asked)},
+        gap AS (SELECT qid, seg, list_distinct({WORDS.format('segment')}) AS d, {WORDS.format('segment')} AS w FROM seg WHERE surface IS NULL),
+        terms AS (SELECT DISTINCT qid, seg || '.' || (list_position(list_filter(w, lambda x, i: list_position(w, x) = i), x) - 1) AS grp, x AS term FROM (SELECT qid, seg, w, unnest(d) AS x FROM gap)
+          UNION SELECT DISTINCT qid, seg || '.-1', term FROM (SELECT qid, seg, unnest({WORDS.format('alias')}) AS term FROM (SELECT qid, seg, unnest(aliases) AS alias FROM seg JOIN known USING (surface))))"""
+
+
+def block_sql() -> str:
+    """The CTEs from ``seg`` and ``known`` to ``block`` (qid, block)."""
+    return f"""{_DEFINED}, met_terms AS (SELECT qid, standard, min(seg) AS seg FROM seg JOIN known USING (surface) GROUP BY 1, 2),
+        block AS (SELECT qid, '[Glossary]' || chr(10) || string_agg('- ' || standard || ': ' || definition, chr(10) ORDER BY seg, standard) || chr(10) AS block FROM met_terms JOIN defined USING (standard) GROUP BY qid)"""
+
+
 def oracle_sql():
-    clean = "list_distinct(list_filter(list_transform(list_prepend(standard_term, coalesce(synonyms, [])), lambda v: trim(v)), lambda v: v IS NOT NULL AND v <> ''))"
+    asked = "asked AS (SELECT item_id AS qid, question AS query FROM eval_item UNION ALL SELECT id, concat_ws(' ', standard_term, definition) FROM glossary_term)"
     return {
-        "glossary_surfaces": f"""WITH k AS (SELECT id, trim(standard_term) AS standard, {clean} AS aliases FROM glossary_term WHERE enabled AND coalesce(trim(standard_term), '') <> ''),
-            e AS (SELECT id, standard, aliases, unnest(aliases) AS surface FROM k)
-            SELECT surface, array_to_string(list_sort(list_distinct(flatten(list(aliases)))), '|') AS aliases, arg_min(standard, id) AS standard FROM e GROUP BY surface""",
+        "glossary_surfaces": f"WITH {_KNOWN} SELECT surface, array_to_string(aliases, '|') AS aliases, standard FROM known",
+        "glossary_segments": f"WITH RECURSIVE {asked}, {segments_sql('asked')} SELECT qid, seg, segment, surface FROM seg",
+        "glossary_expand_terms": f"WITH RECURSIVE {asked}, {expand_sql('asked')} SELECT qid, grp, term FROM terms",
+        "glossary_matches": f"""WITH RECURSIVE {CHUNK}, {asked}, {expand_sql('asked')}, need AS (SELECT qid, count(DISTINCT grp) AS needed FROM terms GROUP BY 1),
+            idx AS (SELECT DISTINCT id AS chunk_id, unnest({WORDS.format('content')}) AS term FROM chunk)
+            SELECT qid, chunk_id FROM terms JOIN idx USING (term) JOIN need USING (qid) GROUP BY qid, chunk_id, needed HAVING count(DISTINCT grp) = needed""",
+        "glossary_block": f"WITH RECURSIVE {asked}, {segments_sql('asked')}, {block_sql()} SELECT qid, block FROM block",
         "glossary_definitions": """SELECT trim(standard_term) AS standard, arg_max(trim(definition), id) AS definition FROM glossary_term
             WHERE enabled AND trim(standard_term) <> '' AND trim(definition) <> '' GROUP BY 1""",
         "glossary_upsert": """WITH s AS (SELECT * FROM glossary_term WHERE enabled),

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,3 +60,29 @@ def indexed(stored: DataFrame, limit_length: int | None = None) -> DataFrame:
     return stored.agg(F.count_if(F.coalesce(good, F.lit(False))).alias("success"), F.count_if(~F.coalesce(good, F.lit(False))).alias("errors"))
 
 
+Scorer = Callable[[list[tuple[str, str]]], list[float]]
+
+
+def coverage_scorer() -> Scorer:
+    """Share of the query's distinct words that a text has: the stand-in for a cross-encoder."""
+    word = regex.compile(r"[\p{L}\p{N}]+")
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        asked = [set(word.findall(q.lower())) for q, _ in pairs]
+        return [len(a & set(word.findall(t.lower()))) / len(a) if a else 0.0 for a, (_, t) in zip(asked, pairs, strict=True)]
+
+    return score
+
+
+def score_pairs(df: DataFrame, query: str, text: str, factory: Callable[[], Scorer] = coverage_scorer, batch: int = 16, chars: int = 4000) -> DataFrame:
+    """``df`` with ``rerank_score`` of each (query, text) pair; ``batch`` pairs go to the model at once, null texts are empty ones."""
+    schema = T.StructType([*df.schema.fields, T.StructField("rerank_score", T.DoubleType())])
+
+    def run(frames):
+        model = factory()
+        for frame in frames:
+            pairs = [(q or "", (t or "")[:chars]) for q, t in zip(frame[query], frame[text], strict=True)]
+            scores = [s for at in range(0, len(pairs), batch) for s in model(pairs[at : at + batch])]
+            yield frame.assign(rerank_score=pd.Series(scores, index=frame.index, dtype="float64"))
+
+    return df.mapInPandas(run, schema)
