@@ -23,8 +23,8 @@ def brute(vectors, least=0.8):
     return out
 
 
-def found(spark, vectors):
-    return {(r["id_a"], r["id_b"]) for r in S.similar_pairs(S.nearest(frame(spark, vectors))).collect()}
+def found(spark, vectors, **options):
+    return {(r["id_a"], r["id_b"]) for r in S.similar_pairs(S.nearest(frame(spark, vectors), **options)).collect()}
 
 
 def test_clusters_copies_and_unusable_rows(spark):
@@ -102,3 +102,49 @@ def test_recall_with_many_cells(spark, monkeypatch):
     vectors = [(f"v{i:04}", centers[i % 60] + 0.45 * rng.normal(size=96)) for i in range(2400)]
     want = brute(vectors)
     assert len(want & found(spark, vectors)) >= 0.995 * len(want)
+
+
+def clustered(rows, clusters, spread, seed):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(clusters, 96))
+    return [(f"v{i:05}", centers[i % clusters] + spread * rng.normal(size=96)) for i in range(rows)]
+
+
+def test_exact_setting_finds_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 40)
+    vectors = clustered(900, 20, 0.48, 7)
+    assert found(spark, vectors, exact=True) == brute(vectors)
+
+
+def test_second_level_of_centers(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 12)
+    monkeypatch.setattr(S, "LEVEL", 16)
+    vectors = clustered(2400, 60, 0.4, 8)
+    index = S.fit(S.distinct_vectors(S.usable(frame(spark, vectors))).withColumn("rid", S.F.monotonically_increasing_id()), 2400)
+    assert len(index.coarse) == 16 and len(index.fine) == 13
+    want = brute(vectors)
+    assert len(want & found(spark, vectors)) >= 0.99 * len(want)
+
+
+def test_a_shared_vector_in_a_large_table_adds_no_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(S, "CELL_ROWS", 400)
+    vectors = clustered(6000, 300, 0.3, 9)
+    hot = [(f"h{i:05}", vectors[0][1]) for i in range(3000)]
+    df = frame(spark, [*vectors, *hot])
+    kinds = S.checkpointed(S.distinct_vectors(S.usable(df)).withColumn("rid", S.F.monotonically_increasing_id()))
+    assert kinds.count() == 6000
+    want = brute(vectors)
+    got = {p for p in found(spark, [*vectors, *hot]) if not any(x[0] == "h" for x in p)}
+    assert len({p for p in want if "v00000" not in p} & got) >= 0.99 * len(want) - 5
+    copies = [r for r in S.nearest(df).filter("id like 'h%'").collect()]
+    assert len(copies) == 15000 and all(r["sim"] == 1.0 for r in copies)
+
+
+def test_table_sums_are_inner_products():
+    rng = np.random.default_rng(10)
+    books = rng.normal(size=(96, 16, 1)).astype(np.float32)
+    packed = rng.integers(0, 256, (50, 48)).astype(np.uint8)
+    asked = rng.normal(size=(7, 96)).astype(np.float32)
+    sums, slack = S.table_sums(asked, packed, books)
+    assert np.abs(sums - S._decode(packed, books) @ asked.T).max() <= slack + 1e-4
