@@ -7,10 +7,10 @@ budget that follows from the similarity threshold never loses a pair.
 
 One trie over all records would have to keep every pair of upper nodes alive,
 because a large budget prunes only after many bits. The features are therefore
-dealt into one part more than the budget has errors (for names: into segments,
+dealt into more parts than the budget has errors (for names: into segments,
 one more than edits allowed), so that a similar pair agrees entirely in one
 part. Each part's value is the root of a trie; the shuffle brings the records
-of a root together, and there node pairs are traversed together, level by
+of a root together, and there node pairs are traversed together, eight bits a
 level, with their differing bits added up and pruned as soon as they exceed the
 budget. What reaches the leaves is verified exactly.
 
@@ -85,8 +85,10 @@ def size_classes() -> np.ndarray:
 
 
 _CLASSES = size_classes()
-#: Parts of a class: one more than two bags up to the class's largest size may differ in at a similarity of 0.8.
-_PARTS = np.array([2 * (int(b) - 1) // 9 + 1 for b in [*_CLASSES[1:], 10**6]])
+#: Largest size of each class.
+_LARGEST = np.array([int(b) - 1 for b in [*_CLASSES[1:], 10**6]])
+#: Parts of a class: more than two bags up to the class's largest size may differ in at a similarity of 0.8, and some to spare for empty parts.
+_PARTS = np.array([p + 2 + p // 16 for p in (2 * _LARGEST // 9 + 1).tolist()])
 
 
 def _parity(owner: np.ndarray, features: np.ndarray, count: int) -> np.ndarray:
@@ -95,16 +97,42 @@ def _parity(owner: np.ndarray, features: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(ones.reshape(count, BITS).astype(np.uint8), axis=1)
 
 
-def _part_keys(owner: np.ndarray, features: np.ndarray, count: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Root keys of every part of every owner, whose class is ``group``, and offsets per owner."""
-    parts = _PARTS[group]
-    offsets = np.concatenate([[0], np.cumsum(parts)])
-    place = offsets[owner] + ((features >> np.uint64(8)) % parts[owner].astype(np.uint64)).astype(np.int64)
+def _dealt(owner: np.ndarray, features: np.ndarray, offsets: np.ndarray, parts: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Value of every part of every owner, and whether it has a feature; ``shift`` chooses the hash bits that deal."""
+    place = offsets[owner] + ((features >> np.uint64(shift)) % parts[owner].astype(np.uint64)).astype(np.int64)
     value = np.zeros(offsets[-1], np.uint64)
     np.add.at(value, place, _mixed(features))
-    number = np.arange(offsets[-1]) - np.repeat(offsets[:-1], parts)
-    label = np.repeat(group, parts).astype(np.uint64) * np.uint64(4096) + number.astype(np.uint64)
-    return _mixed(value ^ _mixed(label)).view(np.int64), offsets
+    return value, np.bincount(place, minlength=offsets[-1]) > 0
+
+
+def _part_keys(owner: np.ndarray, features: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Root keys of every owner, whose size class is ``group``, and offsets per owner.
+
+    A part without features is no root by itself, as very many records would
+    share it. Two records can agree in such parts alone only if all the other
+    parts differ, so only records with too few other parts need more: for each
+    of their empty parts the parts of a second dealing, one of which must agree.
+    """
+    count, parts = len(size), _PARTS[group]
+    offsets = np.concatenate([[0], np.cumsum(parts)])
+    value, filled = _dealt(owner, features, offsets, parts, 8)
+    of = np.repeat(np.arange(count), parts)
+    number = np.arange(offsets[-1]) - offsets[of]
+    label = _mixed(np.repeat(group, parts).astype(np.uint64) * np.uint64(4096) + number.astype(np.uint64))
+    others = np.bincount(of, weights=filled, minlength=count)
+    most_differ = (size + np.minimum(size * 5 // 4, _LARGEST[group])) // 9
+    empty = np.flatnonzero(~filled & (others <= most_differ)[of])
+    keys, owners = [_mixed(value ^ label)[filled]], [of[filled]]
+    if len(empty):
+        second, _ = _dealt(owner, features, offsets, parts, 36)
+        each = parts[of[empty]]
+        nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        spot = np.repeat(empty, each)
+        keys.append(_mixed(second[offsets[of[spot]] + nth] ^ _mixed(label[spot] + nth.astype(np.uint64) + np.uint64(1))))
+        owners.append(of[spot])
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return keys[order].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=count))])
 
 
 def _list_array(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
@@ -142,7 +170,7 @@ def content_records(df: DataFrame, key: str = "id", text: str = "content") -> Da
             data = h.tobytes()
             bags = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             group = np.searchsorted(_CLASSES, n, side="right") - 1
-            own, low = (_list_array(*_part_keys(owner, feature, len(n), group + step)) for step in (0, 1))
+            own, low = (_list_array(*_part_keys(owner, feature, n, group + step)) for step in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(bags, pa.binary()), pa.array(raw, pa.binary()), pa.array(n.astype(np.int32))]
                 + [pa.array([s.tobytes() for s in _parity(owner, feature, len(n))], pa.binary()), own, low],
@@ -224,36 +252,52 @@ def name_budget(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return 6 * (15 * np.maximum(n_a, n_b) // 100)
 
 
-def trie_self_join(group: np.ndarray, words: np.ndarray, n: np.ndarray, budget, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def trie_self_join(group: np.ndarray, signature: np.ndarray, n: np.ndarray, budget, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of one group whose signatures differ in no more bits than ``budget`` allows.
 
-    ``group`` is the root of each row, ``words`` its signature in 64-bit words.
-    A node is a run of sorted rows with equal leading words; a pair of nodes
-    goes down together, and ``budget`` of their largest sizes prunes it.
+    ``group`` is the root of each row, ``signature`` its bits in bytes. A node
+    is a run of sorted rows with equal leading bytes, so a level of the trie is
+    eight bits. A pair of nodes goes down together; the bits in which the two
+    differ add up, and ``budget`` of the largest sizes below them prunes the
+    pair. Paths without a fork are compressed: of two nodes with one signature
+    each the rest is compared at once.
     """
-    levels = words.shape[1]
+    levels = signature.shape[1]
+    words = signature.view(">u8").astype(np.uint64)
     order = np.lexsort((*words.T[::-1], group))
-    group, words, n = group[order], words[order], n[order]
+    group, signature, words, n = group[order], signature[order], words[order], n[order]
     rows = len(group)
     fresh = np.ones(rows + 1, bool)
     fresh[1:rows] = group[1:] != group[:-1]
     starts = [np.flatnonzero(fresh)]
-    for w in range(levels):
-        fresh[1:rows] |= words[1:, w] != words[:-1, w]
+    for level in range(levels):
+        fresh[1:rows] |= signature[1:, level] != signature[:-1, level]
         starts.append(np.flatnonzero(fresh))
     largest = [np.maximum.reduceat(n, s[:-1]) for s in starts]
-    children = [np.searchsorted(starts[w + 1], starts[w]) for w in range(levels)]
+    children = [np.searchsorted(starts[level + 1], starts[level]) for level in range(levels)]
+    leaf = [np.searchsorted(starts[levels], s) for s in starts]  # first signature of each node
+    lone = [np.diff(f) == 1 for f in leaf]
 
     found_a, found_b = [], []
     roots = np.flatnonzero(np.diff(starts[0]) > 1)
     stack = [(0, roots, roots, np.zeros(len(roots), np.int64))]
     while stack:
         level, a, b, bits = stack.pop()
-        if level == levels:
-            low_a, low_b, wide_a, wide_b = starts[level][a], starts[level][b], np.diff(starts[level])[a], np.diff(starts[level])[b]
-        else:
+        if level < levels:
+            both = lone[level][a] & lone[level][b]
+            if both.any():
+                x, y = starts[level][a[both]], starts[level][b[both]]
+                differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+                near = differ <= budget(largest[level][a[both]], largest[level][b[both]])
+                if near.any():
+                    stack.append((levels, leaf[level][a[both]][near], leaf[level][b[both]][near], differ[near]))
+                a, b, bits = a[~both], b[~both], bits[~both]
+                if not len(a):
+                    continue
             low_a, low_b = children[level][a], children[level][b]
             wide_a, wide_b = children[level][a + 1] - low_a, children[level][b + 1] - low_b
+        else:
+            low_a, low_b, wide_a, wide_b = starts[level][a], starts[level][b], np.diff(starts[level])[a], np.diff(starts[level])[b]
         product = wide_a * wide_b
         total = np.cumsum(product)
         if len(a) > 1 and total[-1] > chunk:  # depth first in slices, so that memory stays bounded
@@ -270,8 +314,8 @@ def trie_self_join(group: np.ndarray, words: np.ndarray, n: np.ndarray, budget,
             continue
         keep = (a[pair] != b[pair]) | (x <= y)
         x, y, pair = x[keep], y[keep], pair[keep]
-        word = words[starts[level + 1][:-1], level]
-        bits = bits[pair] + np.bitwise_count(word[x] ^ word[y])
+        byte = signature[starts[level + 1][:-1], level]
+        bits = bits[pair] + np.bitwise_count(byte[x] ^ byte[y])
         keep = bits <= budget(largest[level + 1][x], largest[level + 1][y])
         if keep.any():
             stack.append((level + 1, x[keep], y[keep], bits[keep]))
@@ -297,7 +341,7 @@ def _join_roots(budget):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
         rid, blk, sub = (table.column(c).to_numpy() for c in ("rid", "blk", "sub"))
         role = table.column("role").to_numpy(zero_copy_only=False).astype(bool)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(group), -1)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(group), -1)
         a, b = trie_self_join(group, sig, table.column("n").to_numpy().astype(np.int64), budget)
         apart = (sub[a] < 0) | (blk[a] != blk[b])  # rows of a block meet in the block's own task
         keep = (role[a] | role[b]) & apart & (rid[a] != rid[b])
@@ -465,20 +509,21 @@ def similar_names(df: DataFrame, key: str = "id", name: str = "filename") -> Dat
 # ---------------------------------------------------------------- classes
 
 
-def classes(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def classes(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected classes of pairs (id_a, id_b): one row (id, class_id, links) per id, the class named by its smallest id.
 
     Large-star and small-star steps in turn hang every id below smaller ones
-    until nothing moves; each step is an aggregate and a join on keys, its
-    result is checkpointed, and the number of rounds grows with the logarithm
-    of the longest chain.
+    until the links of two rounds are the same; each step is an aggregate and a
+    join on keys, its result is checkpointed, and the number of rounds grows
+    with the logarithm of the longest chain. Classes that don't settle in
+    ``rounds`` are an error.
     """
     pairs = checkpointed(pairs.select("id_a", "id_b"))
     both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     links = both.distinct().groupBy(F.col("id_a").alias("id")).agg(F.count("*").alias("links"))
     edges = checkpointed(pairs.filter(F.col("id_a") != F.col("id_b")).select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct())
-    before = None
     for _ in range(rounds):
+        before = edges
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
@@ -486,10 +531,10 @@ def classes(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         hung = large.join(low, "u")
         small = hung.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.filter(F.col("u") != F.col("v")).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == before:
+        if edges.join(before, ["u", "v"], "left_anti").isEmpty() and before.join(edges, ["u", "v"], "left_anti").isEmpty():
             break
-        before = state
+    else:
+        raise RuntimeError(f"the classes did not settle in {rounds} rounds")
     named = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("class_id"))
     return links.join(named, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "links")
 

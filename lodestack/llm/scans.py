@@ -8,13 +8,15 @@ Items of a scanned document are put back into continuous paragraphs:
   but right more often than not, so the majority of like items decides.
   Titles are told from paragraphs in the same way.
 * Line-pair classifiers decide whether a paragraph goes on in the next one
-  (fitted on paragraphs cut in two and on whole neighbours) and whether the
-  hyphen of a broken word belongs to it (fitted on words cut at random and at
-  their own hyphens).
+  (fitted on paragraphs cut in two and on whole neighbours), whether a line
+  inside a paragraph is furniture (fitted on undisturbed lines and on furniture
+  put between them) and whether the hyphen of a broken word belongs to it
+  (fitted on words cut at random and at their own hyphens).
 * Misrecognised words get correction candidates through an inverted join of
-  character bigrams; gradient-boosted trees, fitted on words that were damaged
-  on purpose and on undamaged rare ones, choose among them. Years are repaired
-  by the digits that letters stand for.
+  character bigrams with their places; years read as letters and words with
+  specks or stray digits, whose right form may stand nowhere else, get theirs
+  by rule. Gradient-boosted trees, fitted on words and years that were damaged
+  on purpose and on undamaged ones, choose among all of them.
 
 Counts and statistics cover all items; only the classifiers are fitted on
 bounded samples (FIT_ROWS rows each).
@@ -36,8 +38,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from lodestack.session import checkpointed
 
@@ -47,8 +47,6 @@ FIT_ROWS = 20_000
 SURE = 4
 #: From so many times a word's count on, a like word is what it should have been, however often it was misread.
 FREQUENT = 50
-#: Running lines that are kept per document, most frequent first.
-RUNNING = 8
 # Forms of page numbers, signs of a broken word, and what scanners confuse (seen -> meant).
 PAGE_NUMBER = r"^\s*(?:[-–·\[(]?\s*[0-9OolI]{1,4}\s*[-–·\])]?|[0-9OolI]+ ?/ ?[0-9OolI]+|(?:p\.|page|seite|s\.) ?[0-9OolI]+|제? ?[0-9OolI]+ ?쪽|[ivxlc]{1,7})\s*$"
 BREAKS = "-¬‐\xad"
@@ -57,12 +55,14 @@ CONFUSED = {
     "cl": "d", "q": "g", "b": "h", "ii": "u", "6": "b", "rn": "m", "vv": "w",
 }
 SPECKS = "~|·`^'"
-DIGIT_LIKE = str.maketrans("OoZzlISsbBqgQ", "0022115568990")
+LETTERS_OF_DIGITS = tuple(zip("OoZzlISsbBqgQ", "0022115568990", strict=True))
+DIGIT_LIKE = str.maketrans(dict(LETTERS_OF_DIGITS))
 FURNITURE = ("header", "footer", "number")
 TITLES = ("doc_title", "paragraph_title")
 
-_number = re.compile(PAGE_NUMBER, re.IGNORECASE)
-_year = re.compile(r"(?<![A-Za-z0-9])([0-9OoZzlISsbBqg]{4})(?![A-Za-z0-9])")
+YEAR_LIKE = r"(?<![A-Za-z0-9])([0-9OoZzlISsbBqg]{4})(?![A-Za-z0-9])"
+_year = re.compile(YEAR_LIKE)
+_whole_year = re.compile(r"(?<![A-Za-z0-9])(?:19|20)[0-9]{2}(?![A-Za-z0-9])")
 _edges = re.compile(r"^[^\w~|·`^'@]+|[^\w~|·`^'@]+$")
 
 
@@ -118,7 +118,7 @@ def _fitted(df: DataFrame, features: list[str], label, name: str, learner, sampl
     """``df`` with the probability ``name`` of a classifier fitted on a bounded sample of ``fit_on`` (or ``df``)."""
     pick = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
     train = pick.transform(_bounded(df if fit_on is None else fit_on, sample_by).withColumn("__y", label.cast("double"))).select("__x", "__y")
-    train = checkpointed(train)
+    train = checkpointed(train.repartition(2))  # a bounded sample: many small tasks would cost more than its rows
     classes = {r["__y"] for r in train.select("__y").distinct().collect()}
     if classes != {0.0, 1.0}:
         return df.withColumn(name, F.lit(1.0 if classes == {1.0} else 0.0))
@@ -131,15 +131,35 @@ def _trees(rounds: int = 12) -> GBTClassifier:
 
 
 def running_lines(furniture: DataFrame) -> DataFrame:
-    """Per document its most frequent furniture texts, digits and punctuation left out: (doc_id, running)."""
-    counted = furniture.filter(F.col("form").isNotNull()).groupBy("doc_id", "form").count()
-    best = Window.partitionBy("doc_id").orderBy(F.desc("count"), "form")
-    top = counted.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= RUNNING)
-    return top.groupBy("doc_id").agg(F.collect_list("form").alias("running"))
+    """The different furniture texts of each document, digits and punctuation left out: (doc_id, running)."""
+    return furniture.filter(F.col("form").isNotNull()).select("doc_id", F.col("form").alias("running")).distinct()
 
 
-def classified(df: DataFrame) -> DataFrame:
-    """Items with ``role`` (furniture, title, table or paragraph) and the running lines of their document.
+def like_running(forms: DataFrame, running: DataFrame) -> DataFrame:
+    """The (doc_id, form) that are a running line of their document up to some misread characters, one in six and at least two.
+
+    A running line is cut into one piece more than edits are allowed, so one
+    piece is whole in every form in reach, not further from its place than
+    there are edits. Forms and lines meet by document and piece, whatever their
+    number, and are then compared.
+    """
+    edits = F.greatest(F.lit(2), F.floor(F.length("running") / 6)).cast("int")
+    n = F.length("running")
+    cut = running.select("doc_id", "running", edits.alias("edits")).select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("i"))
+    start = F.floor(F.col("i") * n / (F.col("edits") + 1)).cast("int")
+    end = F.floor((F.col("i") + 1) * n / (F.col("edits") + 1)).cast("int")
+    pieces = cut.select("doc_id", "running", "edits", start.alias("start"), F.substr("running", start + 1, end - start).alias("piece")).filter(F.col("piece") != "")
+    sizes = F.when(F.length("form") >= 14, F.array(*map(F.lit, (4, 5, 6)))).otherwise(F.array(*map(F.lit, (1, 2, 3, 4, 5))))
+    spots = forms.select("doc_id", "form").distinct().withColumn("size", F.explode(sizes)).filter(F.col("size") <= F.length("form"))
+    spots = spots.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("form") - F.col("size"))))
+    probes = spots.select("doc_id", "form", "at", F.substr("form", F.col("at") + 1, F.col("size")).alias("piece"))
+    near = F.abs(F.col("at") - F.col("start")) <= F.col("edits")
+    met = probes.join(pieces, ["doc_id", "piece"]).filter(near & (F.abs(n - F.length("form")) <= F.col("edits"))).select("doc_id", "form", "running", "edits").distinct()
+    return met.filter(F.levenshtein("form", "running") <= F.col("edits")).select("doc_id", "form").distinct()
+
+
+def classified(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items with ``role`` (furniture, title, table or paragraph), and the running lines of each document.
 
     Furniture is told twice: the first time shows each document's running
     lines, and likeness to one of them, misread characters allowed, helps the
@@ -148,18 +168,16 @@ def classified(df: DataFrame) -> DataFrame:
     rows = checkpointed(items(df))
     text = rows.filter(~F.col("is_table"))
     is_furniture = F.coalesce(F.col("kind").isin(*FURNITURE), F.lit(False))
-    text = _fitted(text, FEATURES, is_furniture, "p_first", _trees(), "id")
-    running = running_lines(text.filter(F.col("p_first") >= 0.5))
-    alike = F.exists("running", lambda r: F.levenshtein(r, F.col("form")) <= F.greatest(F.lit(2), F.floor(F.length(r) / 6)))
-    text = text.join(running, "doc_id", "left").withColumn("f_running", F.coalesce(alike.cast("double"), F.lit(0.0)))
-    text = checkpointed(text)
+    text = checkpointed(_fitted(text, FEATURES, is_furniture, "p_first", _trees(), "id"))
+    running = checkpointed(running_lines(text.filter(F.col("p_first") >= 0.5)))
+    alike = like_running(text.filter(F.col("form").isNotNull()), running).withColumn("f_running", F.lit(1.0))
+    text = checkpointed(text.join(alike, ["doc_id", "form"], "left").fillna({"f_running": 0.0}))
     text = _fitted(text, [*FEATURES, "f_running"], is_furniture, "p_furniture", _trees(), "id")
     rest = text.filter(F.col("p_furniture") < 0.5)
     text = _fitted(text, FEATURES, F.coalesce(F.col("kind").isin(*TITLES), F.lit(False)), "p_title", _trees(), "id", fit_on=rest)
     role = F.when(F.col("p_furniture") >= 0.5, "furniture").when(F.col("p_title") >= 0.5, "title").otherwise("paragraph")
     text = text.withColumn("role", role).drop("p_first", "p_furniture", "p_title", "f_running")
-    tables = rows.filter(F.col("is_table")).withColumn("role", F.lit("table")).withColumn("running", F.lit(None).cast("array<string>"))
-    return text.unionByName(tables)
+    return text.unionByName(rows.filter(F.col("is_table")).withColumn("role", F.lit("table"))), running
 
 
 # --------------------------------------------------------------- line pairs
@@ -190,7 +208,7 @@ def followed(roles: DataFrame) -> DataFrame:
     body = roles.filter(F.col("role") != "furniture")
     nxt = lambda c: F.lead(c).over(order)
     rows = body.select(
-        "id", "doc_id", "item_no", "role", "md", "running", "places", "page", F.coalesce("last_page", "page").alias("last_page"),
+        "id", "doc_id", "item_no", "role", "md", "places", "page", F.coalesce("last_page", "page").alias("last_page"),
         nxt("id").alias("next_id"), nxt("role").alias("next_role"), nxt("md").alias("next_md"), nxt("page").alias("next_page"),
         F.col("f_height").alias("height"), F.coalesce(nxt("f_height"), F.lit(-100.0)).alias("next_height"),
     ).filter(F.col("role") == "paragraph")
@@ -207,37 +225,47 @@ def followed(roles: DataFrame) -> DataFrame:
     return judged.withColumn("goes_on", F.coalesce(on, F.lit(False)))
 
 
-# ---------------------------------------------------------- lines and words
+LINE_FEATURES = ["l_number", "l_running", "l_length", "l_letters", "l_ends", "l_lower", "j_ends", "j_broken", "j_lower", "j_upper", "j_digit", "j_hangul"]
+
+
+def _line_features(df: DataFrame) -> DataFrame:
+    """Features of a ``line`` between two others: its own, and those of the pair that would meet without it."""
+    one = F.trim("line")
+    return (
+        _pair_features(df, "before", "after")
+        .withColumn("l_number", one.rlike("(?i)" + PAGE_NUMBER).cast("double"))
+        .withColumn("l_length", F.least(F.length(one), F.lit(200)).cast("double"))
+        .withColumn("l_letters", F.length(F.regexp_replace(one, r"[^\p{L}]", "")) / F.greatest(F.length(one), F.lit(1)))
+        .withColumn("l_ends", one.rlike(r"[.?!:;。？！]\W*$").cast("double"))
+        .withColumn("l_lower", one.rlike(r"^\p{Ll}").cast("double"))
+    )
+
+
+def inside_lines(paragraphs: DataFrame, roles: DataFrame, running: DataFrame) -> DataFrame:
+    """Numbers of the lines inside a paragraph that are furniture: (id, inside).
+
+    A line-pair classifier decides for every line between two others of a
+    paragraph that stands on several places. It is fitted on lines of
+    paragraphs at one place, and on furniture put between such lines.
+    """
+    split = paragraphs.select("id", "doc_id", "places", F.split("md", "\n").alias("lines")).filter(F.size("lines") >= 3)
+    lines = split.select("id", "doc_id", "places", "lines", F.explode(F.sequence(F.lit(1), F.size("lines") - 2)).alias("number"))
+    lines = lines.select("id", "doc_id", "places", "number", *[F.get("lines", F.col("number") + step).alias(name) for name, step in (("before", -1), ("line", 0), ("after", 1))])
+    form = F.lower(F.regexp_replace("line", r"[^\p{L}]+", ""))
+    lines = lines.withColumn("form", F.when((F.length(F.trim("line")) <= 120) & (F.length(form) > 3), form))
+    alike = like_running(lines.filter(F.col("form").isNotNull()), running).withColumn("l_running", F.lit(1.0))
+    lines = checkpointed(_line_features(lines.join(alike, ["doc_id", "form"], "left").fillna({"l_running": 0.0})))
+    plain = _bounded(lines.filter(F.col("places") <= 1), "id", FIT_ROWS // 2)
+    put = _bounded(roles.filter((F.col("role") == "furniture") & ~F.col("md").contains("\n")).select("id", F.col("md").alias("line"), F.col("form").isNotNull().cast("double").alias("l_running")), "id", FIT_ROWS // 2)
+    nth = lambda df: df.withColumn("nth", F.row_number().over(Window.orderBy(F.xxhash64("id"))))  # noqa: E731  (bounded samples)
+    put = _line_features(nth(put).join(nth(plain).select("nth", "before", "after"), "nth"))
+    columns = ["line", *LINE_FEATURES]
+    fit_on = plain.select(*columns, F.lit(0).alias("put")).unionByName(put.select(*columns, F.lit(1).alias("put")))
+    judged = _fitted(lines.filter(F.col("places") > 1), LINE_FEATURES, F.col("put") == 1, "p_inside", _trees(), "line", fit_on=fit_on)
+    return judged.filter(F.col("p_inside") >= 0.5).groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("inside"))
 
 
-def _near(a: str, b: str) -> bool:
-    """Whether two running lines are the same up to a few misread characters."""
-    if abs(len(a) - len(b)) > 3:
-        return False
-    limit = max(2, len(b) // 6)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-        if min(row) > limit:
-            return False
-    return row[-1] <= limit
-
-
-def furniture_lines(lines: list[str], running: list[str]) -> set[int]:
-    """Numbers of the lines inside a paragraph that are furniture."""
-    found = set()
-    for i in range(1, len(lines) - 1):
-        line = lines[i].strip()
-        if _number.match(line):
-            found.add(i)
-        elif len(line) <= 120:
-            form = re.sub(r"[\W\d_]+", "", line).lower()
-            if len(form) > 3 and any(_near(form, r) for r in running):
-                found.add(i)
-    return found
+# ---------------------------------------------------------- lines and words
 
 
 def words_of(lines: list[str], following: str | None, skip_first: bool) -> list[tuple[str, str, str, str]]:
@@ -275,23 +303,19 @@ def words_of(lines: list[str], following: str | None, skip_first: bool) -> list[
 
 
 def page_words(paragraphs: DataFrame) -> DataFrame:
-    """One row (id, kind, word, left, right, mark) per word of a paragraph (kind 'word'), and per paragraph with furniture inside ('inside')."""
+    """One row (id, word, left, right, mark) per word of a paragraph, its ``inside`` lines left out."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for item, md, places, running, following, skip in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                lines = md.split("\n")
-                inside = furniture_lines(lines, running or []) if places > 1 else set()
-                if inside:
-                    rows.append((item, "inside", "", "", "", ""))
-                    lines = [x for i, x in enumerate(lines) if i not in inside]
-                rows += [(item, "word", *w) for w in words_of(lines, following, skip)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["id", "kind", "word", "left", "right", "mark"])
+            for item, md, inside, following, skip in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                lines = [x for i, x in enumerate(md.split("\n")) if i not in (inside or ())]
+                rows += [(item, *w) for w in words_of(lines, following, skip)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["id", "word", "left", "right", "mark"])
 
-    shape = paragraphs.select("id", "md", "places", "running", F.when(F.col("goes_on"), F.col("next_md")).alias("following"), "skip_first")
-    return shape.mapInArrow(run, "id string, kind string, word string, left string, right string, mark string")
+    shape = paragraphs.select("id", "md", "inside", F.when(F.col("goes_on"), F.col("next_md")).alias("following"), "skip_first")
+    return shape.mapInArrow(run, "id string, word string, left string, right string, mark string")
 
 
 # ------------------------------------------------------------------ spelling
@@ -330,8 +354,8 @@ def _change(seen: str, meant: str) -> tuple[str, str, int, int]:
     return seen[head : len(seen) - tail], meant[head : len(meant) - tail], head, tail
 
 
-SPELL_FEATURES = ["s_seen", "s_meant", "s_confused", "s_speck", "s_letters", "s_head", "s_tail", "s_length", "s_count"]
-_SPELL = "s_seen double, s_meant double, s_confused double, s_speck double, s_letters double, s_head double, s_tail double, s_length double"
+SPELL_FEATURES = ["s_seen", "s_meant", "s_confused", "s_speck", "s_letters", "s_digit", "s_head", "s_tail", "s_length", "s_rule", "s_count"]
+_SPELL = "s_seen double, s_meant double, s_confused double, s_speck double, s_letters double, s_digit double, s_head double, s_tail double, s_length double"
 
 
 def _spell_rows(seen: pd.Series, meant: pd.Series) -> pd.DataFrame:
@@ -339,8 +363,20 @@ def _spell_rows(seen: pd.Series, meant: pd.Series) -> pd.DataFrame:
     for s, m in zip(seen, meant, strict=True):
         a, b, head, tail = _change(s, m)
         confused = CONFUSED.get(a) == b or (len(a) == len(b) == 1 and b.isalpha() and not a.isalpha())
-        rows.append((len(a), len(b), confused, bool(a) and all(c in SPECKS for c in a) and not b, a.isalpha() or not a, min(head, 3), min(tail, 3), len(m)))
-    return pd.DataFrame(rows, columns=SPELL_FEATURES[:-1], dtype="float64")
+        rows.append((len(a), len(b), confused, bool(a) and all(c in SPECKS for c in a) and not b, a.isalpha() or not a, b.isdigit(), min(head, 3), min(tail, 3), len(m)))
+    return pd.DataFrame(rows, columns=SPELL_FEATURES[:-2], dtype="float64")
+
+
+def ruled(words: DataFrame) -> DataFrame:
+    """Candidates (seen, meant) for words that needn't occur rightly anywhere: years without letters, words without specks and stray digits."""
+
+    def run(batches):
+        for batch in batches:
+            pairs = [(w, m) for w in batch.column(0).to_pylist() for m in (repaired_year(w), without_specks(w.lower())) if m]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["seen", "meant"])
+
+    odd = words.select("seen").filter(F.col("seen").rlike(r"[0-9@~|·`^']")).distinct()
+    return odd.mapInArrow(run, "seen string, meant string").distinct()
 
 
 def damaged(words: DataFrame, copies: int = 2) -> DataFrame:
@@ -354,7 +390,15 @@ def damaged(words: DataFrame, copies: int = 2) -> DataFrame:
             seen, meant = [], []
             for word in batch.column(0).to_pylist():
                 rng = np.random.default_rng(list(word.encode()))
+                year = _whole_year.search(word)
                 for _ in range(copies):
+                    if year:
+                        i = int(rng.integers(year.start(), year.end()))
+                        likely = [a for a, b in LETTERS_OF_DIGITS if b == word[i]]
+                        if likely:
+                            seen.append(word[:i] + likely[rng.integers(len(likely))] + word[i + 1 :])
+                            meant.append(word)
+                        continue
                     spots = [(i, s) for i, c in enumerate(word) for s in inverse.get(c, ())]
                     if spots and rng.random() < 0.7:
                         i, s = spots[rng.integers(len(spots))]
@@ -369,50 +413,65 @@ def damaged(words: DataFrame, copies: int = 2) -> DataFrame:
     return words.select("word").mapInArrow(run, "seen string, meant string")
 
 
-def _grams(word: str):
+def _grams(word: str, length: str) -> DataFrame:
     padded = F.concat(F.lit("^"), F.col(word), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2))))
+    return F.transform(F.sequence(F.lit(1), F.col(length) + 1), lambda i: F.struct(i.alias("place"), F.substr(padded, i, F.lit(2)).alias("gram")))
 
 
 def candidates(seen: DataFrame, lexicon: DataFrame, edits: int = 2) -> DataFrame:
     """Rightly spelt words within ``edits`` edits of each ``seen`` word: (seen, meant, n).
 
-    An edit touches at most two bigrams, so of any ``2 * edits + 1`` bigrams
-    of a seen word a word in reach shares one; the rarest ones are looked up.
+    An edit touches at most two bigrams, so of any ``2 * edits + 1`` bigrams of
+    a seen word a word in reach has one, moved by the letters that were added
+    or lost before it. The rarest are looked up by gram, place and length
+    together, so even the words of a very frequent gram are met in small groups.
     """
-    postings = lexicon.select(F.col("word").alias("meant"), "n", F.explode(_grams("word")).alias("gram"))
+    listed = lexicon.select(F.col("word").alias("meant"), "n", F.length("word").alias("length"))
+    postings = listed.select("meant", "n", "length", F.explode(_grams("meant", "length")).alias("g")).select("meant", "n", "length", "g.gram", "g.place")
     spread = postings.groupBy("gram").agg(F.count("*").alias("df"))
-    probes = seen.select("seen").distinct().select("seen", F.explode(_grams("seen")).alias("gram")).join(spread, "gram", "left").fillna({"df": 0})
-    rarest = Window.partitionBy("seen").orderBy("df", "gram")
-    probes = probes.withColumn("nth", F.row_number().over(rarest)).filter((F.col("nth") <= 2 * edits + 1) & (F.col("df") > 0)).select("seen", "gram")
-    pairs = probes.join(postings, "gram").filter(F.abs(F.length("seen") - F.length("meant")) <= edits).select("seen", "meant", "n").distinct()
+    asked = seen.select("seen").distinct().withColumn("size", F.length("seen"))
+    probes = asked.select("seen", "size", F.explode(_grams("seen", "size")).alias("g")).select("seen", "size", "g.gram", "g.place").join(spread, "gram", "left").fillna({"df": 0})
+    rarest = Window.partitionBy("seen").orderBy("df", "gram", "place")
+    probes = probes.withColumn("nth", F.row_number().over(rarest)).filter((F.col("nth") <= 2 * edits + 1) & (F.col("df") > 0))
+    moves = [(shift, longer) for shift in range(-edits, edits + 1) for longer in range(-edits, edits + 1) if abs(shift) + abs(longer - shift) <= edits]
+    moved = F.explode(F.array(*[F.struct((F.col("place") + shift).alias("place"), (F.col("size") + longer).alias("length")) for shift, longer in moves])).alias("m")
+    pairs = probes.select("seen", "gram", moved).select("seen", "gram", "m.place", "m.length").join(postings, ["gram", "place", "length"]).select("seen", "meant", "n").distinct()
     return pairs.filter((F.col("seen") != F.col("meant")) & (F.levenshtein("seen", "meant", edits) >= 0))
 
 
 def corrections(vocabulary: DataFrame) -> DataFrame:
     """The chosen correction (seen, meant) of every misrecognised word of ``vocabulary`` (word, n).
 
-    Only a much more frequent word can be what was meant: FREQUENT times as
-    frequent, or, for words seen fewer than SURE times, at least SURE times.
+    Candidates come from the inverted join, and from rules for what needn't
+    occur rightly anywhere; the trees choose among all of them. Of the joined
+    ones only a much more frequent word can be what was meant: FREQUENT times
+    as frequent, or, for words seen fewer than SURE times, at least SURE times.
     """
     shaped = F.col("word").rlike(r"^\p{L}[\p{L}]*(-\p{L}+)*$")
     sure = checkpointed(vocabulary.filter((F.col("n") >= SURE) & shaped & (F.length("word") >= 2)))
-    heard = vocabulary.filter((F.length("word") >= 3) & (F.length("word") <= 60)).select(F.col("word").alias("seen"), F.col("n").alias("times"))
+    heard = vocabulary.filter(F.length("word") >= 3).select(F.col("word").alias("seen"), F.col("n").alias("times"))
     learn = checkpointed(_bounded(sure.filter(F.length("word") >= 4), "word", FIT_ROWS // 4))
-    bad = checkpointed(damaged(learn))
-    every = heard.select("seen").unionByName(bad.select("seen"))
-    schema = "seen string, meant string, n bigint, " + _SPELL
+    years = _bounded(vocabulary.filter(F.col("word").rlike(r"(?<![A-Za-z0-9])(19|20)[0-9]{2}(?![A-Za-z0-9])")), "word", FIT_ROWS // 8)
+    bad = checkpointed(damaged(learn.select("word").unionByName(years.select("word"))).distinct())
+    every = checkpointed(heard.select("seen").unionByName(bad.select("seen")).distinct())
+    schema = "seen string, meant string, n bigint, s_rule double, " + _SPELL
 
     def features(frames):
         for frame in frames:
             yield pd.concat([frame.reset_index(drop=True), _spell_rows(frame["seen"], frame["meant"])], axis=1)
 
-    pairs = checkpointed(candidates(every, sure).mapInPandas(features, schema).withColumn("s_count", F.least(F.log1p("n"), F.lit(8.0))))
-    truth = bad.distinct().withColumn("right", F.lit(1))
+    by_rule = ruled(every).join(vocabulary.select(F.col("word").alias("meant"), "n"), "meant", "left").fillna({"n": 0}).select("seen", "meant", "n", F.lit(1.0).alias("s_rule"))
+    joined = candidates(every, sure).select("seen", "meant", "n", F.lit(0.0).alias("s_rule"))
+    met = joined.unionByName(by_rule).groupBy("seen", "meant").agg(F.max("n").alias("n"), F.max("s_rule").alias("s_rule"))
+    pairs = checkpointed(met.mapInPandas(features, schema).withColumn("s_count", F.least(F.log1p("n"), F.lit(8.0))))
+    truth = bad.withColumn("right", F.lit(1))
     spoilt = pairs.join(bad.select("seen").distinct(), "seen").join(truth, ["seen", "meant"], "left")
-    intact = pairs.join(learn.select(F.col("word").alias("seen"), F.col("n").alias("times")), "seen").filter(F.col("n") < FREQUENT * F.col("times"))
-    fit_on = spoilt.unionByName(intact.drop("times").withColumn("right", F.lit(0)))
-    rarer = ((F.col("times") < SURE) & (F.col("n") >= F.greatest(F.lit(SURE), 2 * F.col("times")))) | (F.col("n") >= FREQUENT * F.col("times"))
+    alone = spoilt.filter(F.col("s_rule") == 1).withColumn("s_count", F.lit(0.0))  # as if the right word stood nowhere else
+    rests = pairs.join(learn.select(F.col("word").alias("seen"), F.col("n").alias("times")), "seen").filter(F.col("n") < FREQUENT * F.col("times"))
+    codes = pairs.filter(F.col("s_rule") == 1).join(heard.filter(F.col("times") >= SURE), "seen").filter(F.col("n") < F.col("times"))
+    intact = rests.unionByName(codes).drop("times").withColumn("right", F.lit(0))
+    fit_on = spoilt.unionByName(alone).unionByName(intact)
+    rarer = ((F.col("times") < SURE) & (F.col("n") >= F.greatest(F.lit(SURE), 2 * F.col("times")))) | (F.col("n") >= FREQUENT * F.col("times")) | (F.col("s_rule") == 1)
     real = pairs.join(heard, "seen").filter(rarer).drop("times")
     judged = _fitted(real, SPELL_FEATURES, F.coalesce(F.col("right"), F.lit(0)), "p_right", _trees(), "seen", fit_on=fit_on)
     best = Window.partitionBy("seen").orderBy(F.desc(F.round("p_right", 2)), F.desc("n"), "meant")
@@ -438,28 +497,23 @@ def whole_words(broken: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return judged.select("left", "right", F.when(stays, F.concat_ws("-", "left", "right")).otherwise(F.concat("left", "right")).alias("whole"))
 
 
-def _mapped(function):
-    """A column function over words, by Arrow batches."""
-
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(function, na_action="ignore")
-
-    return pandas_udf(run, StringType())
-
-
 # ------------------------------------------------------------------- results
 
 
 def analyse(df: DataFrame) -> dict[str, DataFrame]:
     """Roles of items, paragraphs with their continuation, their words, whole broken words and corrections."""
-    roles = checkpointed(classified(df))
+    roles, running = classified(df)
+    roles = checkpointed(roles)
     paragraphs = followed(roles)
     broken_end = F.col("md").rlike(r"\p{L}[-¬‐­]\s*$")
     heads = paragraphs.filter(F.col("goes_on") & broken_end & F.col("next_md").rlike(r"^\p{Ll}")).select(F.col("next_id").alias("id"), F.lit(True).alias("skip_first"))
-    shaped = paragraphs.join(heads, "id", "left").fillna({"skip_first": False})
-    words = checkpointed(page_words(shaped))
-    said = words.filter((F.col("kind") == "word") & (F.col("mark") == "")).select("id", "word")
-    vocabulary = checkpointed(said.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")))
+    inside = inside_lines(paragraphs, roles, running)
+    paragraphs = checkpointed(paragraphs.join(heads, "id", "left").fillna({"skip_first": False}).join(inside, "id", "left"))
+    words = checkpointed(page_words(paragraphs))
+    # the letters that stand for digits differ by case, so a year keeps its own
+    seen = F.when(F.col("word").rlike(YEAR_LIKE), F.col("word")).otherwise(F.lower("word"))
+    said = words.filter(F.col("mark") == "").select("id", "word", seen.alias("seen"))
+    vocabulary = checkpointed(said.groupBy(F.col("seen").alias("word")).agg(F.count("*").alias("n")))
     torn = words.filter(F.col("mark") != "").select("id", F.lower("left").alias("left"), F.lower("right").alias("right"))
     whole = checkpointed(torn.join(whole_words(torn.select("left", "right"), vocabulary), ["left", "right"]))
     joined = whole.select(F.col("whole").alias("word")).distinct().join(vocabulary, "word", "left_anti").withColumn("n", F.lit(1).cast("bigint"))
@@ -472,28 +526,21 @@ def found(df: DataFrame) -> DataFrame:
     parts = analyse(df)
     none = F.lit("").alias("word")
     furniture = parts["roles"].filter(F.col("role") == "furniture").select("id", F.lit("furniture").alias("kind"), none)
-    inside = parts["words"].filter(F.col("kind") == "inside").select("id", "kind", none)
+    inside = parts["paragraphs"].filter(F.col("inside").isNotNull()).select("id", F.lit("inside").alias("kind"), none)
     continued = parts["paragraphs"].filter("goes_on").select("id", F.lit("continued").alias("kind"), none)
-
     fixes = parts["fixes"]
-    year, speckless = _mapped(repaired_year), _mapped(without_specks)
-    all_words = parts["said"].withColumn("seen", F.lower("word")).unionByName(parts["whole"].select("id", F.col("whole").alias("word"), F.col("whole").alias("seen")))
-    odd = all_words.join(fixes, "seen", "left").filter(F.col("meant").isNotNull() | F.col("word").rlike(r"[0-9@~|·`^'.]"))
-    odd = odd.withColumn("year", year("word")).withColumn("plain", speckless("seen"))
-    misread = odd.withColumn("right", F.coalesce("year", "meant", "plain")).filter(F.col("right").isNotNull() & (F.col("right") != F.col("seen")))
-    misread = misread.select("id", F.lit("misread").alias("kind"), F.col("right").alias("word"))
+    all_words = parts["said"].select("id", "seen").unionByName(parts["whole"].select("id", F.col("whole").alias("seen")))
+    misread = all_words.join(fixes, "seen").filter(F.col("meant") != F.lower("seen")).select("id", F.lit("misread").alias("kind"), F.col("meant").alias("word"))
     hyphen = parts["whole"].join(fixes.withColumnRenamed("seen", "whole"), "whole", "left").select("id", F.lit("hyphen").alias("kind"), F.coalesce("meant", "whole").alias("word"))
     every = furniture.unionByName(inside).unionByName(continued).unionByName(hyphen).unionByName(misread)
     return every.select(F.col("id").alias("item_id"), "kind", "word").distinct()
 
 
-def repaired_text(texts: list[str], inside: list[bool], running: list[str], wholes: dict[str, str], fixes: dict[str, str]) -> str:
+def repaired_text(texts: list[str], inside: list[list[int]], wholes: dict[str, str], fixes: dict[str, str]) -> str:
     """The items of one paragraph as one line of text: furniture and line ends gone, broken words joined, misread ones put right."""
     lines: list[str] = []
-    for text, spans in zip(texts, inside, strict=True):
-        own = text.split("\n")
-        skip = furniture_lines(own, running) if spans else set()
-        lines += [x.strip() for i, x in enumerate(own) if i not in skip and x.strip()]
+    for text, skip in zip(texts, inside, strict=True):
+        lines += [x.strip() for i, x in enumerate(text.split("\n")) if i not in skip and x.strip()]
     out = lines[0] if lines else ""
     for line in lines[1:]:
         tail = re.search(rf"([^\W_][\w-]*)[{re.escape(BREAKS)}]$", out)
@@ -509,7 +556,7 @@ def repaired_text(texts: list[str], inside: list[bool], running: list[str], whol
     def right_word(match: re.Match) -> str:
         word = match.group()
         core = _edges.sub("", word)
-        meant = repaired_year(core) or fixes.get(core.lower()) or without_specks(core.lower())
+        meant = fixes.get(core) or fixes.get(core.lower())
         if not meant or not core:
             return word
         shaped = meant.upper() if core.isupper() and len(core) > 1 else meant[0].upper() + meant[1:] if core[0].isupper() else meant
@@ -529,23 +576,23 @@ def repaired(df: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("item_no", "id")
     starts = F.when(F.coalesce(F.lag("goes_on").over(order), F.lit(False)), 0).otherwise(1)
     rows = rows.withColumn("start", starts).withColumn("paragraph_no", F.sum("start").over(order))
-    words = parts["said"].withColumn("seen", F.lower("word")).join(parts["fixes"], "seen").select("id", "seen", "meant").distinct()
+    words = parts["said"].join(parts["fixes"], "seen").select("id", "seen", "meant").distinct()
     torn = parts["whole"].select("id", F.concat_ws(" ", "left", "right").alias("seen"), F.col("whole").alias("meant")).distinct()
     joined = parts["whole"].select("id", F.col("whole").alias("seen")).join(parts["fixes"], "seen").select("id", "seen", "meant").distinct()
     pack = lambda d, name: d.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("seen", "meant"))).alias(name))
     rows = rows.join(pack(words.unionByName(joined).distinct(), "fixes"), "id", "left").join(pack(torn, "wholes"), "id", "left")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    item = F.struct("item_no", "id", "md", (F.col("places") > 1).alias("spans"), F.coalesce("fixes", none).alias("fixes"), F.coalesce("wholes", none).alias("wholes"))
+    item = F.struct("item_no", "id", "md", F.coalesce("inside", F.array().cast("array<int>")).alias("inside"), F.coalesce("fixes", none).alias("fixes"), F.coalesce("wholes", none).alias("wholes"))
     first = F.min(F.struct("item_no", "id"))["id"].alias("first_item")
-    chains = rows.groupBy("doc_id", "paragraph_no").agg(first, F.collect_list(item).alias("items"), F.first("running", True).alias("running"))
+    chains = rows.groupBy("doc_id", "paragraph_no").agg(first, F.collect_list(item).alias("items"))
 
     def run(frames):
         for frame in frames:
             texts = []
-            for items_, running in zip(frame["items"], frame["running"], strict=True):
+            for items_ in frame["items"]:
                 items_ = sorted(items_, key=lambda x: (x["item_no"] if x["item_no"] is not None else -1, x["id"]))
                 merge = lambda name: {k: v for x in items_ for k, v in (x[name].items() if isinstance(x[name], dict) else x[name])}  # noqa: B023, E731
-                texts.append(repaired_text([x["md"] for x in items_], [bool(x["spans"]) for x in items_], list(running) if running is not None else [], merge("wholes"), merge("fixes")))
+                texts.append(repaired_text([x["md"] for x in items_], [[int(i) for i in x["inside"]] for x in items_], merge("wholes"), merge("fixes")))
             yield frame[["doc_id", "paragraph_no", "first_item"]].assign(text=texts)
 
-    return chains.select("doc_id", "paragraph_no", "first_item", "items", "running").mapInPandas(run, "doc_id string, paragraph_no bigint, first_item string, text string")
+    return chains.select("doc_id", "paragraph_no", "first_item", "items").mapInPandas(run, "doc_id string, paragraph_no bigint, first_item string, text string")

@@ -21,7 +21,7 @@ def test_trie_join_finds_exactly_what_the_budget_allows(chunk):
         at = rng.integers(0, 150, 60)
         rows[at, rng.integers(0, 4, 60)] ^= np.uint64(1) << rng.integers(0, 63, 60).astype(np.uint64)
     group, n = rng.integers(0, 5, 150), rng.integers(20, 60, 150)
-    a, b = N.trie_self_join(group, rows, n, N.content_budget, chunk)
+    a, b = N.trie_self_join(group, rows.view(np.uint8), n, N.content_budget, chunk)
     got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
     assert len(got) == len(a) and got == brute_trie(group, rows, n, N.content_budget)
 
@@ -158,3 +158,23 @@ def test_empty_tables(spark):
     assert contents(spark, []) == set()
     assert N.similar_names(spark.createDataFrame([], "id string, filename string")).count() == 0
     assert N.classes(spark.createDataFrame([], "id_a string, id_b string")).count() == 0
+
+
+def test_small_texts_that_differ_as_much_as_allowed(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(20, 27)))]
+        other = list(words)
+        for at in rng.choice(len(words), (len(words) // 9), replace=False):
+            other[at] = f"x{rng.integers(0, 10**6)}"
+        rows += [(f"a{i:03}", " ".join(words)), (f"b{i:03}", " ".join(rng.permutation(other)))]
+    got = {(r["id_a"], r["id_b"]) for r in N.similar_contents(spark.createDataFrame(rows, "id string, content string")).collect()}
+    assert got == {(f"a{i:03}", f"b{i:03}") for i in range(400)}
+
+
+def test_classes_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(200)], "id_a string, id_b string")
+    assert {r["class_id"] for r in N.classes(chain).collect()} == {"000"}
+    with pytest.raises(RuntimeError):
+        N.classes(chain, rounds=1)

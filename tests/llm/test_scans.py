@@ -16,10 +16,16 @@ def test_specks():
         assert S.without_specks(word) is None
 
 
-def test_lines_inside():
-    lines = ["A paragraph starts", "- 10 -", "Yearly report, Nowherr", "and goes on here.", "7"]
-    assert S.furniture_lines(lines, ["yearlyreportnowhere"]) == {1, 2}
-    assert S.furniture_lines(["xii"], []) == set() and S.furniture_lines([], []) == set()
+def test_running_lines_up_to_misread_characters(spark):
+    running = spark.createDataFrame([("d", "yearlyreportnowhere"), ("d", "draft")] + [("e", f"chapter{chr(97 + i)}") for i in range(26)], "doc_id string, running string")
+    forms = [("d", "yearlyreportnowherr"), ("d", "yeorlyrcportnowherr"), ("d", "yeorlyrcportnawherr"), ("d", "draff"), ("d", "goesonhere"), ("e", "chaptez"), ("e", "yearlyreportnowhere"), ("e", "chapterzz")]
+    got = {(r["doc_id"], r["form"]) for r in S.like_running(spark.createDataFrame(forms, "doc_id string, form string"), running).collect()}
+    assert got == {("d", "yearlyreportnowherr"), ("d", "yeorlyrcportnowherr"), ("d", "draff"), ("e", "chaptez"), ("e", "chapterzz")}
+
+
+def test_rules_give_candidates(spark):
+    words = spark.createDataFrame([("2O24년에",), ("w0rk",), ("plain",), ("co2",)], "seen string")
+    assert {(r["seen"], r["meant"]) for r in S.ruled(words).collect()} == {("2O24년에", "2024년에"), ("w0rk", "work")}
 
 
 def test_broken_words():
@@ -32,7 +38,7 @@ def test_broken_words():
 
 
 def test_repaired_text():
-    text = S.repaired_text(["The tcchnical insu-\nlation of", "2O20 goes\n- 4 -\non as self-\nassessment."], [False, True], [], {"self assessment": "self-assessment"}, {"tcchnical": "technical"})
+    text = S.repaired_text(["The tcchnical insu-\nlation of", "2O20 goes\n- 4 -\non as self-\nassessment."], [[], [1]], {"self assessment": "self-assessment"}, {"tcchnical": "technical", "2O20": "2020"})
     assert text == "The technical insulation of 2020 goes on as self-assessment."
 
 
