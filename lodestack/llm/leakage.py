@@ -1,7 +1,7 @@
 """Held-out evaluation texts inside a training corpus, found by spaced seeds.
 
 Texts are compared as word sequences in their consistent form (see
-:mod:`lodestack.llm.canonical`), case folded; what stands between the words
+:mod:`lodestack.llm.canonical`), in lower case; what stands between the words
 doesn't count. A seed is the hash of a window of ``span`` words under a fixed
 mask that ignores some positions. With ``s`` tolerated substitutions the
 positions fall into ``s + 2`` interleaved groups and each mask ignores ``s`` of
@@ -17,6 +17,7 @@ once. Extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,11 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .canonical import canonical
+from lodestack.session import checkpointed
+
+from .canonical import Words, canonical, look_alikes
 
 SPAN = 12
-#: Up to so many item seeds (8 bytes each) go to the executors as a filter in front of the join.
+#: Item seeds (8 bytes each) that go to the executors at once as a filter in front of the join; more go in blocks.
 FILTER_SEEDS = 2_000_000
+#: Characters that are worked on at once, so that long texts in one batch don't add up; a longer text is worked on alone.
+CHARS = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,12 +60,25 @@ def masks(span: int, substitutions: int) -> list[list[int]]:
     return [[p for p in range(span) if p % groups not in ignored] for ignored in combinations(range(groups), substitutions)]
 
 
-def _windows(texts: list[str | None], span: int, looks: list[list[int]], wanted: np.ndarray | None):
+def _parts(texts: list[str | None]):
+    """Stretches (start, stop) of a batch with at most CHARS characters, or one text."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if held and held + size > CHARS:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _windows(texts: list[str | None], span: int, looks: list[list[int]], wanted: np.ndarray | None, forms: Words):
     """(text number, position, seed, word hashes of the window) arrays of a batch of texts."""
     words, ends = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         if text:
-            words += _WORD.findall(canonical(text).casefold())
+            words += _WORD.findall(canonical(text, forms).lower())
         ends[i] = len(words)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     count = len(h) - span + 1
@@ -97,15 +115,18 @@ def _windows(texts: list[str | None], span: int, looks: list[list[int]], wanted:
 def seeds(df: DataFrame, key: str, text: str, span: int, substitutions: int, wanted=None) -> DataFrame:
     """One row (key, pos, seed, win) per text, window and mask; only those with a seed in ``wanted``, if given."""
     looks = masks(span, substitutions)
+    alike = look_alikes(df.sparkSession)
 
     def run(batches):
-        only = None if wanted is None else wanted.value
+        only, forms = None if wanted is None else wanted.value, Words(alike)
         for batch in batches:
-            owner, pos, seed, window = _windows(batch.column(1).to_pylist(), span, looks, only)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pos) * span + 1, span), pa.int32()), pa.array(window.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner)), pa.array(pos.astype(np.int32)), pa.array(seed), lists], names=["key", "pos", "seed", "win"]
-            )
+            texts = batch.column(1).to_pylist()
+            for start, stop in _parts(texts):
+                owner, pos, seed, window = _windows(texts[start:stop], span, looks, only, forms)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pos) * span + 1, span), pa.int32()), pa.array(window.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner + start)), pa.array(pos.astype(np.int32)), pa.array(seed), lists], names=["key", "pos", "seed", "win"]
+                )
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, pos int, seed bigint, win array<bigint>")
@@ -115,20 +136,21 @@ def leaked_windows(docs: DataFrame, passages: DataFrame, *, doc: str = "doc_id",
     """One row (doc, item, pos, item_pos, substituted) per window that a document shares with an item.
 
     ``passages`` has the columns ``item`` and ``passage``. Windows may differ
-    in up to ``substitutions`` words. While the seeds of the items number no
-    more than FILTER_SEEDS, the corpus is filtered by them before the join, so
-    only hits are shuffled; beyond that all seeds go through the join. The
-    result is the same.
+    in up to ``substitutions`` words. The corpus is filtered by the items'
+    seeds before the join, so only hits are shuffled; more than FILTER_SEEDS
+    seeds are taken in blocks, each of which reads the corpus once.
     """
     spark = docs.sparkSession
-    held_out = seeds(passages, "item", "passage", span, substitutions)
-    few = held_out.select("seed").distinct().limit(FILTER_SEEDS + 1).toPandas()["seed"].to_numpy(np.int64)
-    wanted = None
-    if len(few) == 0:
-        docs = docs.limit(0)
-    elif len(few) <= FILTER_SEEDS:
-        wanted = spark.sparkContext.broadcast(np.sort(few.view(np.uint64)))
-    hits = seeds(docs, doc, text, span, substitutions, wanted).select(F.col("key").alias("doc"), "pos", "seed", "win")
+    held_out = checkpointed(seeds(passages, "item", "passage", span, substitutions))
+    different = held_out.select("seed").distinct()
+    blocks = max(1, -(-different.count() // FILTER_SEEDS))
+    found = []
+    for block in range(blocks):
+        part = different.filter(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == block).toPandas()["seed"].to_numpy(np.int64)
+        if len(part):
+            found.append(seeds(docs, doc, text, span, substitutions, spark.sparkContext.broadcast(np.sort(part.view(np.uint64)))))
+    hits = reduce(DataFrame.unionByName, found) if found else seeds(docs.limit(0), doc, text, span, substitutions)
+    hits = hits.select(F.col("key").alias("doc"), "pos", "seed", "win")
     items = held_out.select(F.col("key").alias("item"), F.col("pos").alias("item_pos"), "seed", F.col("win").alias("item_win"))
     differ = F.size(F.filter(F.zip_with("win", "item_win", lambda a, b: a != b), lambda x: x))
     return (

@@ -100,7 +100,7 @@ def p8_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text in the consistent form."""
-    return table(spark, sf_dir, "documents").select("doc_id", canonical.canonical_text("text").alias("form"))
+    return table(spark, sf_dir, "documents").select("doc_id", canonical.canonical_text("text", canonical.look_alikes(spark)).alias("form"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,6 +27,27 @@ def test_a_form_is_its_own_form(text):
     assert unicodedata.is_normalized("NFC", once)
 
 
+def test_words_of_another_script_keep_their_letters():
+    for text in ("Привет, мир", "Καλημέρα κόσμε", "Ёлка и йод"):
+        assert C.canonical(text) == text
+    assert C.canonical("Пpивет") == "Привет"  # a Latin p in a Russian word
+    assert C.canonical("приве\u0301т") == C.canonical("прив\u00e9т")
+    assert C.canonical("Wordпресс а") == C.canonical("Wоrdпpесc a")
+    assert C.canonical("сор") == "cop"  # nothing tells that it isn't Latin
+
+
+def test_published_look_alikes(spark):
+    looks = C.look_alikes(spark)
+    assert looks["а"] == "a" and looks["Ꭺ"] == "A" and len(looks) > len(C.LOOKALIKES) and not any(c.isdigit() for c in looks)
+    assert C.canonical("ⲤOPᎩ", C.Words(looks)) == "COPY"
+
+
+def test_sequences_compose_in_any_order():
+    for source in ("a\u0323\u0302", "a\u0302\u0323", "\u1ea1\u0302", "\u00e2\u0323", "\uff41\u0323\u200b\u0302"):
+        assert C.canonical(source) == "\u1ead"
+    assert C.canonical("x\u0323\u0302") == C.canonical("x\u0302\u0323") == unicodedata.normalize("NFC", "x\u0302\u0323")
+
+
 def rows(spark, values):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in values], "doc_id long, text string, form string, raw string")
 
