@@ -36,10 +36,6 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
-#: Single bits, so that the bitmap's words needn't be shifted anew.
-_BIT = [1 << k for k in range(256)]
-
-
 class Encoder:
     """The vocabulary and what one process remembers of its work."""
 
@@ -47,8 +43,7 @@ class Encoder:
         self.ranks = ranks
         self.pattern = regex.compile(PRE_TOKEN)
         self.leaves = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
-        if len(self.leaves) > len(_BIT):
-            raise ValueError("a two-level bitmap holds 65,536 ranks")
+        self.bits = [1 << k for k in range(max(256, len(self.leaves)))]  # so that the bitmap's words needn't be shifted anew
         encode = self._chunk
 
         class Memory(dict):
@@ -80,10 +75,10 @@ class Encoder:
         """The ids of one pre-token.
 
         ``leaves`` has 256 ranks per word and ``top`` a bit per word that isn't
-        zero; all are zero again at the end. The loop is written out because
+        zero, however many there are; all are zero again at the end. The loop is written out because
         calls would take most of its time.
         """
-        get, leaves, bit = self.ranks.get, self.leaves, _BIT
+        get, leaves, bit = self.ranks.get, self.leaves, self.bits
         n = len(data)
         parts: list[bytes | None] = [data[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))

@@ -38,3 +38,11 @@ def test_table(spark):
     assert sorted(out, key=lambda r: r[0])[:4] == [(1, REFERENCE.encode_ordinary("Hello world"))] * 2 + [(2, []), (3, [])]
     assert dict(out)[4] == REFERENCE.encode_ordinary(rows[4][1])
     assert B.encode_texts(df.limit(0)).count() == 0
+
+
+def test_more_ranks_than_one_word_per_leaf_holds():
+    with open(bpe.VOCABULARY, "rb") as file:
+        ranks = bpe.parse_ranks(file.read())
+    small, large = bpe.Encoder(ranks), bpe.Encoder({token: 3 * rank for token, rank in ranks.items()})
+    for text in ("Die Wartung der Anlage", "한국어 문장입니다", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab" * 9):
+        assert (3 * np.frombuffer(small.encode(text), "<i4")).tolist() == np.frombuffer(large.encode(text), "<i4").tolist()
