@@ -41,8 +41,8 @@ def test_table(spark):
 
 
 def test_more_ranks_than_one_word_per_leaf_holds():
-    with open(bpe.VOCABULARY, "rb") as file:
-        ranks = bpe.parse_ranks(file.read())
-    small, large = bpe.Encoder(ranks), bpe.Encoder({token: 3 * rank for token, rank in ranks.items()})
+    with open(B.VOCABULARY, "rb") as file:
+        ranks = B.parse_ranks(file.read())
+    small, large = B.Encoder(ranks), B.Encoder({token: 3 * rank for token, rank in ranks.items()})
     for text in ("Die Wartung der Anlage", "한국어 문장입니다", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab" * 9):
         assert (3 * np.frombuffer(small.encode(text), "<i4")).tolist() == np.frombuffer(large.encode(text), "<i4").tolist()
