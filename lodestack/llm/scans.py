@@ -149,13 +149,18 @@ def like_running(forms: DataFrame, running: DataFrame) -> DataFrame:
     start = F.floor(F.col("i") * n / (F.col("edits") + 1)).cast("int")
     end = F.floor((F.col("i") + 1) * n / (F.col("edits") + 1)).cast("int")
     pieces = cut.select("doc_id", "running", "edits", start.alias("start"), F.substr("running", start + 1, end - start).alias("piece")).filter(F.col("piece") != "")
-    sizes = F.when(F.length("form") >= 14, F.array(*map(F.lit, (4, 5, 6)))).otherwise(F.array(*map(F.lit, (1, 2, 3, 4, 5))))
-    spots = forms.select("doc_id", "form").distinct().withColumn("size", F.explode(sizes)).filter(F.col("size") <= F.length("form"))
+    own = running.select("doc_id", F.col("running").alias("form"))
+    reach = running.select("doc_id", n.alias("n"), edits.alias("edits")).groupBy("doc_id").agg(F.min(F.col("n") - F.col("edits")).alias("low"), F.max(F.col("n") + F.col("edits")).alias("high"))
+    given = forms.select("doc_id", "form").distinct()
+    others = given.join(own, ["doc_id", "form"], "left_anti").join(reach, "doc_id").filter(F.length("form").between(F.col("low"), F.col("high"))).select("doc_id", "form")
+    # a line of n letters is cut into pieces of n / (edits + 1)
+    sizes = F.when(F.length("form") >= 36, F.array(*map(F.lit, (5, 6)))).when(F.length("form") >= 14, F.array(*map(F.lit, (4, 5, 6)))).otherwise(F.array(*map(F.lit, (1, 2, 3, 4, 5))))
+    spots = others.withColumn("size", F.explode(sizes)).filter(F.col("size") <= F.length("form"))
     spots = spots.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("form") - F.col("size"))))
     probes = spots.select("doc_id", "form", "at", F.substr("form", F.col("at") + 1, F.col("size")).alias("piece"))
     near = F.abs(F.col("at") - F.col("start")) <= F.col("edits")
     met = probes.join(pieces, ["doc_id", "piece"]).filter(near & (F.abs(n - F.length("form")) <= F.col("edits"))).select("doc_id", "form", "running", "edits").distinct()
-    return met.filter(F.levenshtein("form", "running") <= F.col("edits")).select("doc_id", "form").distinct()
+    return met.filter(F.levenshtein("form", "running") <= F.col("edits")).select("doc_id", "form").distinct().unionByName(given.join(own, ["doc_id", "form"], "left_semi"))
 
 
 def classified(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,7 +253,8 @@ def inside_lines(paragraphs: DataFrame, roles: DataFrame, running: DataFrame) ->
     paragraph that stands on several places. It is fitted on lines of
     paragraphs at one place, and on furniture put between such lines.
     """
-    split = paragraphs.select("id", "doc_id", "places", F.split("md", "\n").alias("lines")).filter(F.size("lines") >= 3)
+    split = checkpointed(paragraphs.select("id", "doc_id", "places", F.split("md", "\n").alias("lines")).filter(F.size("lines") >= 3))
+    split = split.filter(F.col("places") > 1).unionByName(_bounded(split.filter(F.col("places") <= 1), "id", FIT_ROWS // 4))
     lines = split.select("id", "doc_id", "places", "lines", F.explode(F.sequence(F.lit(1), F.size("lines") - 2)).alias("number"))
     lines = lines.select("id", "doc_id", "places", "number", *[F.get("lines", F.col("number") + step).alias(name) for name, step in (("before", -1), ("line", 0), ("after", 1))])
     form = F.lower(F.regexp_replace("line", r"[^\p{L}]+", ""))
@@ -428,14 +434,15 @@ def candidates(seen: DataFrame, lexicon: DataFrame, edits: int = 2) -> DataFrame
     """
     listed = lexicon.select(F.col("word").alias("meant"), "n", F.length("word").alias("length"))
     postings = listed.select("meant", "n", "length", F.explode(_grams("meant", "length")).alias("g")).select("meant", "n", "length", "g.gram", "g.place")
+    moves = [(shift, longer) for shift in range(-edits, edits + 1) for longer in range(-edits, edits + 1) if abs(shift) + abs(longer - shift) <= edits]
+    moved = F.explode(F.array(*[F.struct((F.col("place") - shift).alias("place"), (F.col("length") - longer).alias("size")) for shift, longer in moves])).alias("m")
     spread = postings.groupBy("gram").agg(F.count("*").alias("df"))
     asked = seen.select("seen").distinct().withColumn("size", F.length("seen"))
     probes = asked.select("seen", "size", F.explode(_grams("seen", "size")).alias("g")).select("seen", "size", "g.gram", "g.place").join(spread, "gram", "left").fillna({"df": 0})
     rarest = Window.partitionBy("seen").orderBy("df", "gram", "place")
     probes = probes.withColumn("nth", F.row_number().over(rarest)).filter((F.col("nth") <= 2 * edits + 1) & (F.col("df") > 0))
-    moves = [(shift, longer) for shift in range(-edits, edits + 1) for longer in range(-edits, edits + 1) if abs(shift) + abs(longer - shift) <= edits]
-    moved = F.explode(F.array(*[F.struct((F.col("place") + shift).alias("place"), (F.col("size") + longer).alias("length")) for shift, longer in moves])).alias("m")
-    pairs = probes.select("seen", "gram", moved).select("seen", "gram", "m.place", "m.length").join(postings, ["gram", "place", "length"]).select("seen", "meant", "n").distinct()
+    met = probes.select("seen", "gram", "place", "size").join(postings.select("meant", "n", "gram", moved).select("meant", "n", "gram", "m.*"), ["gram", "place", "size"])
+    pairs = met.select("seen", "meant", "n").distinct()
     return pairs.filter((F.col("seen") != F.col("meant")) & (F.levenshtein("seen", "meant", edits) >= 0))
 
 

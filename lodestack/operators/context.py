@@ -21,6 +21,14 @@ def citations(hits: DataFrame, snippet: bool = True, content: bool = False, char
     return hits.select(*columns)
 
 
+def contexts(cited: DataFrame) -> DataFrame:
+    """Citations (qid, rank, content, snippet) as the texts that an evaluation judges: (qid, pos, context), blank ones left out, counted from 0."""
+    text = F.trim(F.coalesce(F.nullif("content", F.lit("")), "snippet", F.lit("")), F.lit(" \t\n\r"))
+    order = Window.partitionBy("qid").orderBy("rank")
+    kept = cited.select("qid", "rank", text.alias("context")).filter(F.col("context") != "")
+    return kept.select("qid", (F.row_number().over(order) - 1).cast("bigint").alias("pos"), "context")
+
+
 def budgeted(cited: DataFrame, limit: int, reserved: DataFrame | None = None, count: T.Counter = T.token_count) -> DataFrame:
     """Citations that fit ``limit`` tokens, with ``header``, ``kept_tokens`` and the ``body`` cut to them.
 

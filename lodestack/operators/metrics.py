@@ -44,6 +44,17 @@ def mean_of(value: Column) -> Column:
     return F.avg(F.when(~F.isnan(number), number))
 
 
+def attach_by_position(rows: DataFrame, scores: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """``rows`` with the columns of ``scores`` at the same place of the same keys, and ``attached``: 'both', or where one side has no such place.
+
+    A column ``id`` of the scores is left out, as a judge numbers its own rows.
+    """
+    at = [*keys, pos]
+    left, right = rows.withColumn("__l", F.lit(True)), scores.drop("id").withColumn("__r", F.lit(True))
+    side = F.when(F.col("__l") & F.col("__r"), "both").when(F.col("__l"), "row only").otherwise("score only")
+    return left.join(right, at, "full_outer").withColumn("attached", side).drop("__l", "__r")
+
+
 def gate(means: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """One row (metric, value, threshold, passed) per threshold of a one-row table; a missing value counts 0."""
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m), F.lit(0.0)).alias("value"), F.lit(float(t)).alias("threshold")) for m, t in thresholds.items()]))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.arrays import clean_list
 from lodestack.operators import catalog, filters
 from lodestack.session import table
+from lodestack.sources import models
 
 from .common import CHUNK, DOC, chunks, documents
 
@@ -87,9 +89,41 @@ def stale_counts(spark, sf_dir):
     return docs.select("id", F.col("chunk_count").cast("bigint").alias("stored"), actual.alias("actual")).filter(~F.col("stored").eqNullSafe(F.col("actual")))
 
 
+def replace_chunks(spark, sf_dir):
+    """The chunk table after the failed documents were made anew from their searchable chunks alone."""
+    stored = chunks(spark, sf_dir, "id", "doc_id", "chunk_index", "content_morph")
+    failed = documents(spark, sf_dir, "status").filter(F.col("status") == "failed").select(F.col("id").alias("doc_id"))
+    fresh = stored.join(failed, "doc_id").filter(F.col("content_morph").isNotNull()).select(F.concat(F.lit("n-"), "id").alias("id"), "doc_id", "chunk_index")
+    return catalog.replace_chunks(stored.drop("content_morph"), fresh).select("id", "doc_id", "chunk_index")
+
+
+def new_documents(spark, sf_dir):
+    """The failed documents uploaded again, as pending ones with ids of their own."""
+    records = documents(spark, sf_dir, "group_id", "filename", "content_type", "tag", "status").filter(F.col("status") == "failed").withColumnRenamed("id", "old_id")
+    made = catalog.new_documents(records)
+    fresh = (F.col("id") != F.col("old_id")) & F.col("group_id").isNotNull() & F.col("created_at").isNotNull()
+    return made.select("old_id", "filename", "content_type", F.array_join("tag", "|").alias("tags"), "status", fresh.alias("fresh"))
+
+
+def duplicate_groups(spark, sf_dir):
+    return catalog.duplicate_slugs(table(spark, sf_dir, "rag_group"))
+
+
+def listed_documents(spark, sf_dir):
+    """Every group's documents that aren't deleted, newest first, by number."""
+    docs = documents(spark, sf_dir, "group_id", "filename", "status", "created_at").filter(F.col("status") != "deleted")
+    order = Window.partitionBy("group_id").orderBy(F.desc_nulls_last("created_at"), "id")
+    return docs.select("group_id", F.row_number().over(order).cast("bigint").alias("nth"), "id", "filename", "status")
+
+
+def index_counts(spark, sf_dir):
+    """Chunks that the index took and those without a usable vector."""
+    return models.indexed(chunks(spark, sf_dir, "id", "embedding"), 96)
+
+
 def queries():
     found = [group_counts, empty_groups_anti, group_filter, tag_normalise, tag_contains_all, completed_only, group_id_valid, searchable_counts, soft_delete]
-    found += [dedupe_names_rownum, backfill_groups, tag_to_array, broken_links, stale_counts]
+    found += [dedupe_names_rownum, backfill_groups, tag_to_array, broken_links, stale_counts, replace_chunks, new_documents, duplicate_groups, listed_documents, index_counts]
     return {f.__name__: f for f in found}
 
 
@@ -115,6 +149,16 @@ def oracle_sql():
         "broken_links": f"""WITH {DOC}, {CHUNK} SELECT DISTINCT 'chunk_document' AS kind, id FROM chunk WHERE doc_id NOT IN (SELECT id FROM doc) OR doc_id IS NULL
             UNION SELECT 'document_group', id FROM doc WHERE group_id NOT IN (SELECT id FROM rag_group) OR group_id IS NULL
             UNION SELECT 'chunk_parent', id FROM chunk WHERE parent_chunk_id IS NOT NULL AND parent_chunk_id NOT IN (SELECT id FROM chunk)""",
+        "replace_chunks": f"""WITH {DOC}, {CHUNK}, failed AS (SELECT id FROM doc WHERE status = 'failed'),
+            fresh AS (SELECT 'n-' || id AS id, doc_id, chunk_index FROM chunk WHERE doc_id IN (SELECT id FROM failed) AND content_morph IS NOT NULL)
+            SELECT id, doc_id, chunk_index FROM chunk WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM fresh) UNION ALL SELECT * FROM fresh""",
+        "new_documents": f"""WITH {DOC}, c AS (SELECT id AS old_id, filename, content_type, {clean} AS ts FROM doc WHERE status = 'failed'),
+            p AS (SELECT old_id, unnest(ts) AS t, unnest(generate_series(1, len(ts))) AS i FROM c WHERE len(ts) > 0), f AS (SELECT old_id, t, min(i) AS i FROM p GROUP BY 1, 2), j AS (SELECT old_id, string_agg(t, '|' ORDER BY i) AS tags FROM f GROUP BY 1)
+            SELECT old_id, filename, content_type, tags, 'pending' AS status, true AS fresh FROM c LEFT JOIN j USING (old_id)""",
+        "duplicate_groups": """WITH n AS (SELECT id, lower(trim(slug)) AS slug FROM rag_group WHERE trim(slug) <> ''), f AS (SELECT slug, min(id) AS first_id FROM n GROUP BY 1)
+            SELECT id, slug, first_id FROM n JOIN f USING (slug) WHERE id <> first_id""",
+        "listed_documents": f"WITH {DOC} SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC NULLS LAST, id) AS nth, id, filename, status FROM doc WHERE status <> 'deleted'",
+        "index_counts": f"WITH {CHUNK} SELECT count(*) FILTER (WHERE coalesce(len(embedding), 0) = 96) AS success, count(*) FILTER (WHERE coalesce(len(embedding), 0) <> 96) AS errors FROM chunk",
         "stale_counts": f"""WITH {DOC}, {CHUNK}, c AS (SELECT doc_id, count(*) AS actual FROM chunk GROUP BY 1)
             SELECT d.id, d.chunk_count::BIGINT AS stored, coalesce(c.actual, 0) AS actual FROM doc d LEFT JOIN c ON c.doc_id = d.id WHERE d.chunk_count IS DISTINCT FROM coalesce(c.actual, 0)""",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.operators import dense, metrics
@@ -62,13 +63,22 @@ def reference_check(spark, sf_dir):
     return reports.reference_check(table(spark, sf_dir, "eval_item"))
 
 
+def attached_scores(spark, sf_dir):
+    """Each set's items with the score at their place; the scores stand for a judge's answer, which knows wanted items only."""
+    items = table(spark, sf_dir, "eval_item")
+    place = (F.row_number().over(Window.partitionBy("set_name").orderBy("item_id")) - 1).cast("bigint")
+    rows = items.select("set_name", place.alias("pos"), "item_id")
+    scores = items.filter(~F.coalesce("skip", F.lit(False))).select("set_name", place.alias("pos"), F.lit("x").alias("id"), F.length("ground_truth").cast("bigint").alias("score"))
+    return metrics.attach_by_position(rows, scores, ["set_name"])
+
+
 def report_values(spark, sf_dir):
     """Event values as a report holds them: NaN and infinite ones are null."""
     return reports.json_safe(table(spark, sf_dir, "events").select("event_id", F.col("value")))
 
 
 def queries():
-    found = [recall_at_k, mrr, ndcg_at_k, metric_means, threshold_gate, latency_percentiles, latency_histogram, reference_check, report_values]
+    found = [recall_at_k, mrr, ndcg_at_k, metric_means, threshold_gate, latency_percentiles, latency_histogram, reference_check, attached_scores, report_values]
     return {f.__name__: f for f in found}
 
 
@@ -91,5 +101,8 @@ def oracle_sql():
             SELECT event_type, max(n) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) FILTER (WHERE r = greatest(floor(n * 0.95::DOUBLE), 1)) AS p95 FROM s GROUP BY 1""",
         "latency_histogram": "SELECT b::DOUBLE AS le, count(*) FILTER (WHERE value <= b) AS n FROM events, (SELECT unnest([1.0, 5.0, 10.0, 25.0, 50.0, 100.0]) AS b) GROUP BY b",
         "reference_check": """SELECT set_name, count(*) AS items, count(*) FILTER (WHERE skip) AS skipped, count(*) FILTER (WHERE NOT coalesce(skip, false) AND trim(coalesce(ground_truth, '')) = '') AS missing FROM eval_item GROUP BY 1""",
+        "attached_scores": """WITH r AS (SELECT set_name, row_number() OVER (PARTITION BY set_name ORDER BY item_id) - 1 AS pos, item_id FROM eval_item),
+            s AS (SELECT set_name, row_number() OVER (PARTITION BY set_name ORDER BY item_id) - 1 AS pos, length(ground_truth) AS score, 1 AS r FROM eval_item WHERE NOT coalesce(skip, false))
+            SELECT set_name, pos, item_id, score, CASE WHEN item_id IS NULL THEN 'score only' WHEN s.r IS NULL THEN 'row only' ELSE 'both' END AS attached FROM r FULL JOIN s USING (set_name, pos)""",
         "report_values": "SELECT event_id, CASE WHEN isfinite(value) THEN value END AS value FROM events",
     }

@@ -220,6 +220,11 @@ def citation_rank(spark, sf_dir):
     return _cited(spark, sf_dir).select("qid", "chunk_id", "filename", "page", F.round("score", 6).alias("score"), "rank", "snippet")
 
 
+def citation_contexts(spark, sf_dir):
+    """What an evaluation judges of each completed document: its citations' contents, else their snippets."""
+    return context.contexts(_cited(spark, sf_dir))
+
+
 def context_budget(spark, sf_dir):
     return context.budgeted(_cited(spark, sf_dir), 512).select("qid", "rank", "header", "kept_tokens", "body")
 
@@ -241,7 +246,7 @@ _BUDGET = f"""{_CITED}, headed AS (SELECT *, '[' || rank || '] Source: ' || file
 
 def queries():
     found = [dense_knn, dense_knn_batch, dense_filtered_label, dense_chunks, ann_lsh, token_stats, postings_df, sparse_and, sparse_or_group, sparse_bm25, mode_dense, mode_sparse, rrf_fuse]
-    found += [rrf_single_source, hybrid_topk, no_rerank_topn, rerank_topn, rerank_model, expand_parent, nearest_preceding, citation_rank, context_budget, fallback_answer]
+    found += [rrf_single_source, hybrid_topk, no_rerank_topn, rerank_topn, rerank_model, expand_parent, nearest_preceding, citation_rank, citation_contexts, context_budget, fallback_answer]
     return {f.__name__: f for f in found}
 
 
@@ -282,6 +287,8 @@ def oracle_sql():
         "nearest_preceding": f"""WITH {CHUNK} SELECT r.id AS chunk_id, arg_max(t.id, t.chunk_index) AS table_id FROM chunk r LEFT JOIN chunk t
             ON t.doc_id = r.doc_id AND t.type IN ('table', 'table_text') AND t.chunk_index < r.chunk_index WHERE r.type = 'table_row' GROUP BY r.id""",
         "citation_rank": f"WITH {_CITED} SELECT qid, chunk_id, filename, page, score, rank, {_SNIPPET.format('content')} AS snippet FROM cited",
+        "citation_contexts": f"""WITH {_CITED}, t AS (SELECT qid, rank, trim(content, chr(32) || chr(9) || chr(10) || chr(13)) AS context FROM cited)
+            SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS pos, context FROM t WHERE context <> ''""",
         "context_budget": f"WITH {_BUDGET} SELECT qid, rank, header, kept_tokens, body FROM fit",
         "fallback_answer": f"""WITH {_BUDGET}, c AS (SELECT qid, string_agg(header || chr(10) || body || chr(10), chr(10) ORDER BY rank) AS context FROM fit GROUP BY qid)
             SELECT qid, context, 'Retrieved for: ' || qid || chr(10) || chr(10) || context || chr(10) || chr(10) || '(No language model is available.)' AS answer FROM c""",
