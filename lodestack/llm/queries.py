@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.plans.common import FIFTIETH, fiftieth
 from lodestack.session import table
 
 from . import bpe, canonical, leakage, neardup, scans, similar, splitting
@@ -19,9 +20,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 most similar chunks, among all, of the stated query set: ids whose hash is divisible by 50."""
+    """The 5 most similar chunks, among all, of the stated query set: ids whose first eight digits are a number divisible by 50."""
     chunks = table(spark, sf_dir, "rag_chunk").select("id", "embedding")
-    return similar.search(chunks, chunks.filter(F.pmod(F.xxhash64("id"), F.lit(50)) == 0))
+    found = similar.search(chunks, chunks.filter(fiftieth(F.col("id"))))
+    return found.select("id", "other", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +110,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+# problem 1 as it is stated, by brute force
+_RANKED = """vector AS MATERIALIZED (SELECT id, any_value(embedding)::DOUBLE[96] AS v FROM rag_chunk WHERE id IS NOT NULL AND len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+            alike AS (SELECT a.id, b.id AS other, array_cosine_similarity(a.v, b.v) AS sim FROM vector a JOIN vector b ON a.id <> b.id {0}),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM alike QUALIFY rank <= 5)"""
 # problem 3 as it is stated, by an inverted join of words and by all names of like length; every letter of two names becomes one byte, as the edit distance counts bytes
 _SIMILAR = r"""text AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM rag_chunk WHERE id IS NOT NULL AND content IS NOT NULL),
             sized AS (SELECT id, w, len(w) AS total FROM text WHERE len(w) BETWEEN 20 AND 400),
@@ -124,9 +131,11 @@ _SIMILAR = r"""text AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '
 
 
 def oracle_sql() -> dict[str, str]:
-    """The SQL that is quick enough on whole tables: problems 3 and 4, whose definitions SQL can state."""
+    """The SQL that is quick enough on whole tables: problems 1, 3 and 4, whose definitions SQL can state."""
     token = r"regexp_extract_all(regexp_replace({0}, '[\p{{L}}\p{{N}}]+', 'x', 'g'), '[^\s\p{{Z}}]')"
     return {
+        "p1_found": f"WITH {_RANKED.format('')} SELECT DISTINCT least(id, other) AS chunk_id_a, greatest(id, other) AS chunk_id_b FROM ranked WHERE sim >= 0.8",
+        "p1_topk": f"WITH {_RANKED.format('AND ' + FIFTIETH.format('a.id'))} SELECT id, other, round(sim, 6) AS sim, rank FROM ranked",
         "p3_found": f"WITH {_SIMILAR} SELECT field, id_a, id_b FROM pair",
         "p3_groups": f"""WITH RECURSIVE {_SIMILAR}, link AS (SELECT field, id_a AS id, id_b AS other FROM pair UNION ALL SELECT field, id_b, id_a FROM pair),
             reach AS (SELECT field, id, other FROM link UNION SELECT reach.field, reach.id, link.other FROM reach JOIN link ON link.field = reach.field AND link.id = reach.other),

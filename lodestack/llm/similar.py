@@ -231,9 +231,14 @@ def _fit_books(direction: np.ndarray, u: np.ndarray, eta: float, rounds: int = 2
 
 
 def fit(kinds: DataFrame, rows: int) -> Index | None:
-    """The index of ``rows`` different vectors (rid, vec), fitted on a hash sample of at most SAMPLE of them."""
+    """The index of ``rows`` different vectors (vec), fitted on a hash sample of at most SAMPLE of them.
+
+    The sample and its order follow from the vectors alone, so the same rows
+    give the same index however they are partitioned.
+    """
     share = min(1.0, 0.95 * SAMPLE / max(rows, 1))
-    chosen = kinds.filter(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(SAMPLE).toArrow()
+    place = F.pmod(F.xxhash64("vec"), F.lit(1 << 30))
+    chosen = kinds.filter(place < int(share * (1 << 30)) + 1).select("vec", place.alias("place")).orderBy("place", "vec").limit(SAMPLE).toArrow()
     if chosen.num_rows == 0:
         return None
     u = _unit(_matrix(chosen.column("vec")))
