@@ -126,6 +126,13 @@ def test_second_level_of_centers(spark, monkeypatch):
     assert len(want & found(spark, vectors)) >= 0.99 * len(want)
 
 
+def test_the_index_does_not_depend_on_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 400)
+    df = frame(spark, clustered(1500, 40, 0.4, 12))
+    one, other = (S.fit(S.distinct_vectors(S.usable(df.repartition(n, "id"))), 1500) for n in (1, 7))
+    assert np.array_equal(one.coarse, other.coarse) and np.array_equal(one.fine, other.fine) and np.array_equal(one.books, other.books)
+
+
 def test_a_shared_vector_in_a_large_table_adds_no_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ROWS", 200)
     monkeypatch.setattr(S, "CELL_ROWS", 400)
