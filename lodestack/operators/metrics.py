@@ -70,7 +70,7 @@ def latency(df: DataFrame, group: str, value: str, slices: int = 256) -> DataFra
     are ranked, equal ones counted before. Null groups and values that are null
     or not a number are left out.
     """
-    given = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter(F.col("g").isNotNull() & ~F.isnan("v"))
+    given = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter(F.col("g").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
     ends = given.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"), F.avg("v").alias("mean"))
     place = F.floor(F.try_divide(F.col("v") - F.col("low"), (F.col("high") - F.col("low")) / slices))
     cut = given.join(ends.select("g", "low", "high"), "g").select("g", "v", F.least(F.coalesce(place, F.lit(0)), F.lit(slices - 1)).alias("slice"))

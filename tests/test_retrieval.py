@@ -75,9 +75,13 @@ def test_surfaces_share_aliases_and_longest_wins(spark):
     known = {r["surface"]: (r["aliases"], r["standard"]) for r in glossary.surfaces(terms(spark)).collect()}
     assert known["filing"] == (["filing", "record", "tax return"], "tax return") and "x" not in known
     assert known["record"] == (["filing", "record"], "filing")
-    parts = glossary.split_by_surfaces("My TAX RETURN and tax, ok", ["tax return", "filing", "tax"])
-    assert parts == [("My ", None), ("TAX RETURN", "tax return"), (" and ", None), ("tax", "tax"), (", ok", None)]
-    assert glossary.split_by_surfaces("STRASSE straße ß", ["straße"])[1] == ("straße", "straße")
+    queries = spark.createDataFrame([("a", "My TAX RETURN and tax, ok"), ("b", "STRASSE straße ß")], "qid string, query string")
+    names = spark.createDataFrame([("tax return",), ("filing",), ("tax",), ("straße",)], "surface string")
+    parts = {"a": [], "b": []}
+    for r in glossary.segments(queries, names).orderBy("qid", "seg").collect():
+        parts[r["qid"]].append((r["segment"], r["surface"]))
+    assert parts["a"] == [("My ", None), ("TAX RETURN", "tax return"), (" and ", None), ("tax", "tax"), (", ok", None)]
+    assert parts["b"][1] == ("straße", "straße")
 
 
 def test_expansion_and_block(spark):
