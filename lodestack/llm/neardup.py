@@ -12,7 +12,9 @@ one more than edits allowed), so that a similar pair agrees entirely in one
 part. Each part's value is the root of a trie; the shuffle brings the records
 of a root together, and there node pairs are traversed together, eight bits a
 level, with their differing bits added up and pruned as soon as they exceed the
-budget. What reaches the leaves is verified exactly.
+budget. Subtrees of at most BUCKET signatures aren't branched further, as large
+budgets prune hardly anything there: their signatures are compared a word at a
+time, in tiles. What is left is verified exactly.
 
 Roots that many records share are cut into blocks, and each pair of blocks is
 its own task, so no group outgrows a task. The records of one bag are one record
@@ -46,7 +48,11 @@ EXPAND = 64
 #: Ids in one part of a bag that many records share.
 PART = 256
 #: Records of one root that a task compares; more are cut into blocks.
-BLOCK = 4096
+BLOCK = 16_384
+#: Signatures of two subtrees that are compared without branching: of more pairs than FEW, and up to BUCKET on either side.
+BUCKET, FEW = 4096, 512
+#: Pairs in a tile of such a comparison.
+TILE = 1 << 17
 LEAST_WORDS, MOST_WORDS = 20, 400
 LEAST_NAME = 12
 BITS = 256
@@ -252,23 +258,55 @@ def name_budget(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return 6 * (15 * np.maximum(n_a, n_b) // 100)
 
 
-def trie_self_join(group: np.ndarray, signature: np.ndarray, n: np.ndarray, budget, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_pairs(words: list[np.ndarray], n: np.ndarray, budget, x: tuple[int, int], y: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a signature from the range ``x`` and one from ``y`` that differ in no more bits than ``budget`` allows, and these bits.
+
+    ``words`` are the signatures' words and ``n`` the largest sizes. The bits of
+    a tile's pairs are added up word by word until few pairs are left.
+    """
+    most = min(int(budget(n[x[0] : x[1]].max(), n[y[0] : y[1]].max())), 255)
+    found = [(np.zeros(0, np.int64),) * 3]
+    step = max(1, TILE // (y[1] - y[0]))
+    for top in range(x[0], x[1], step):
+        end, left = min(top + step, x[1]), top if x == y else y[0]
+        wide = y[1] - left
+        at, total = 0, None
+        while at < len(words) - 1:  # the last word is left, so that a byte holds the sum
+            bits = np.bitwise_count(words[at][top:end, None] ^ words[at][None, left : y[1]])
+            total = bits if total is None else np.add(total, bits, out=total)
+            close, at = total <= most, at + 1
+            if np.count_nonzero(close) * 50 <= total.size:
+                break
+        near = np.flatnonzero(close)
+        a, b = top + near // wide, left + near % wide
+        differ = total.ravel()[near].astype(np.int64)
+        for word in words[at:]:
+            differ += np.bitwise_count(word[a] ^ word[b])
+        keep = (differ <= budget(n[a], n[b])) & ((a <= b) | (x != y))
+        found.append((a[keep], b[keep], differ[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def trie_self_join(group: np.ndarray, signature: np.ndarray, n: np.ndarray, budget, chunk: int = 1 << 20, role: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of one group whose signatures differ in no more bits than ``budget`` allows.
 
-    ``group`` is the root of each row, ``signature`` its bits in bytes. A node
+    ``group`` is the root of each row, ``signature`` its bits in bytes; of two
+    rows at least one must have the ``role``, if it is given. A node
     is a run of sorted rows with equal leading bytes, so a level of the trie is
     eight bits. A pair of nodes goes down together; the bits in which the two
     differ add up, and ``budget`` of the largest sizes below them prunes the
     pair. Paths without a fork are compressed: of two nodes with one signature
-    each the rest is compared at once.
+    each the rest is compared at once, as it is of two nodes that hold many
+    pairs of signatures, but at most BUCKET signatures each.
     """
     levels = signature.shape[1]
     words = signature.view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], group))
-    group, signature, words, n = group[order], signature[order], words[order], n[order]
+    other = np.zeros(len(group), bool) if role is None else ~role
+    order = np.lexsort((*words.T[::-1], other, group))
+    group, other, signature, words, n = group[order], other[order], signature[order], words[order], n[order]
     rows = len(group)
     fresh = np.ones(rows + 1, bool)
-    fresh[1:rows] = group[1:] != group[:-1]
+    fresh[1:rows] = (group[1:] != group[:-1]) | (other[1:] != other[:-1])
     starts = [np.flatnonzero(fresh)]
     for level in range(levels):
         fresh[1:rows] |= signature[1:, level] != signature[:-1, level]
@@ -276,11 +314,16 @@ def trie_self_join(group: np.ndarray, signature: np.ndarray, n: np.ndarray, budg
     largest = [np.maximum.reduceat(n, s[:-1]) for s in starts]
     children = [np.searchsorted(starts[level + 1], starts[level]) for level in range(levels)]
     leaf = [np.searchsorted(starts[levels], s) for s in starts]  # first signature of each node
-    lone = [np.diff(f) == 1 for f in leaf]
+    held = [np.diff(f) for f in leaf]
+    lone = [h == 1 for h in held]
+    columns = [np.ascontiguousarray(c) for c in words[starts[levels][:-1]].T]
 
     found_a, found_b = [], []
-    roots = np.flatnonzero(np.diff(starts[0]) > 1)
-    stack = [(0, roots, roots, np.zeros(len(roots), np.int64))]
+    first = starts[0][:-1]
+    roots = np.flatnonzero((np.diff(starts[0]) > 1) & ~other[first])
+    across = np.flatnonzero(group[first[1:]] == group[first[:-1]])  # the rows of a group with the role come before those without
+    a, b = np.concatenate([roots, across]), np.concatenate([roots, across + 1])
+    stack = [(0, a, b, np.zeros(len(a), np.int64))] if len(a) else []
     while stack:
         level, a, b, bits = stack.pop()
         if level < levels:
@@ -292,8 +335,14 @@ def trie_self_join(group: np.ndarray, signature: np.ndarray, n: np.ndarray, budg
                 if near.any():
                     stack.append((levels, leaf[level][a[both]][near], leaf[level][b[both]][near], differ[near]))
                 a, b, bits = a[~both], b[~both], bits[~both]
-                if not len(a):
-                    continue
+            full = (held[level][a] * held[level][b] > FEW) & (np.maximum(held[level][a], held[level][b]) <= BUCKET)
+            for x, y in zip(a[full].tolist(), b[full].tolist(), strict=True):
+                near = _bucket_pairs(columns, largest[levels], budget, *((int(leaf[level][v]), int(leaf[level][v + 1])) for v in (x, y)))
+                if len(near[0]):
+                    stack.append((levels, *near))
+            a, b, bits = a[~full], b[~full], bits[~full]
+            if not len(a):
+                continue
             low_a, low_b = children[level][a], children[level][b]
             wide_a, wide_b = children[level][a + 1] - low_a, children[level][b + 1] - low_b
         else:
@@ -342,9 +391,9 @@ def _join_roots(budget):
         rid, blk, sub = (table.column(c).to_numpy() for c in ("rid", "blk", "sub"))
         role = table.column("role").to_numpy(zero_copy_only=False).astype(bool)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(group), -1)
-        a, b = trie_self_join(group, sig, table.column("n").to_numpy().astype(np.int64), budget)
+        a, b = trie_self_join(group, sig, table.column("n").to_numpy().astype(np.int64), budget, role=role)
         apart = (sub[a] < 0) | (blk[a] != blk[b])  # rows of a block meet in the block's own task
-        keep = (role[a] | role[b]) & apart & (rid[a] != rid[b])
+        keep = apart & (rid[a] != rid[b])
         x, y = np.minimum(rid[a], rid[b])[keep], np.maximum(rid[a], rid[b])[keep]
         pairs = np.unique(np.stack([x, y], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -26,6 +27,43 @@ def test_trie_join_finds_exactly_what_the_budget_allows(chunk):
     assert len(got) == len(a) and got == brute_trie(group, rows, n, N.content_budget)
 
 
+@pytest.mark.parametrize("bucket, few, tile", [(4, 0, 8), (64, 0, 100), (4096, 2, 1 << 17), (4096, 512, 1 << 17)])
+def test_buckets_and_roles_find_exactly_what_the_budget_allows(monkeypatch, bucket, few, tile):
+    for name, value in (("BUCKET", bucket), ("FEW", few), ("TILE", tile)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 2**63, (20, 4), dtype=np.uint64)[rng.integers(0, 20, 200)]
+    rows[0], rows[1] = 0, ~np.uint64(0)  # all bits differ
+    for _ in range(8):
+        at = rng.integers(2, 200, 80)
+        rows[at, rng.integers(0, 4, 80)] ^= np.uint64(1) << rng.integers(0, 63, 80).astype(np.uint64)
+    group, n, role = rng.integers(0, 3, 200), rng.integers(20, 60, 200), rng.random(200) < 0.5
+    group[:2] = 0
+    a, b = N.trie_self_join(group, rows.view(np.uint8), n, N.content_budget, role=role)
+    got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i, j in brute_trie(group, rows, n, N.content_budget) if role[i] or role[j]}
+    assert len(got) == len(a) and got == want
+
+
+def test_a_crowded_root_costs_little_more_than_comparing_its_words():
+    rows = np.random.default_rng(2).integers(0, 2**64, (4000, 4), dtype=np.uint64)
+    n, group = np.full(4000, 60), np.zeros(4000, np.int64)
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    def compared():
+        for row in rows:
+            np.bitwise_count(rows ^ row).sum(axis=1)
+
+    assert seconds(lambda: N.trie_self_join(group, rows.view(np.uint8), n, N.content_budget)) < seconds(compared)
+
+
 def texts(rng, n):
     vocabulary = [f"w{i}" for i in range(400)]
     out = []
