@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.session import checkpointed
@@ -108,16 +108,23 @@ def items(df: DataFrame) -> DataFrame:
 FEATURES = ["f_lines", "f_length", "f_letters", "f_number", "f_page_at_edge", "f_ends", "f_numbered", "f_top", "f_height", "f_like", "f_start", "first_on_page", "last_on_page"]
 
 
-def _bounded(df: DataFrame, key: str, rows: int = FIT_ROWS) -> DataFrame:
-    """A hash sample of at most about ``rows`` rows."""
+def _bounded(df: DataFrame, key: Column | str, rows: int = FIT_ROWS) -> DataFrame:
+    """A hash sample of at most about ``rows`` rows; ``key`` is what is hashed, or a column that holds the hash."""
     n = df.count()
-    return df if n <= rows else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    mark = F.xxhash64(key) if isinstance(key, str) else key
+    return df if n <= rows else df.filter(F.pmod(mark, F.lit(1 << 20)) < int((1 << 20) * rows / n))
 
 
 def _fitted(df: DataFrame, features: list[str], label, name: str, learner, sample_by: str, fit_on: DataFrame | None = None) -> DataFrame:
-    """``df`` with the probability ``name`` of a classifier fitted on a bounded sample of ``fit_on`` (or ``df``)."""
+    """``df`` with the probability ``name`` of a classifier fitted on a bounded sample of ``fit_on`` (or ``df``).
+
+    ``fit_on`` may take many joins, so it is made once for its count and its
+    sample; every exchange also costs the driver a thread and compiled code.
+    """
     pick = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
-    train = pick.transform(_bounded(df if fit_on is None else fit_on, sample_by).withColumn("__y", label.cast("double"))).select("__x", "__y")
+    known = (df if fit_on is None else fit_on).select(*features, label.cast("double").alias("__y"), F.xxhash64(sample_by).alias("__k"))
+    known = known if fit_on is None else checkpointed(known)
+    train = pick.transform(_bounded(known, F.col("__k"))).select("__x", "__y")
     train = checkpointed(train.repartition(2))  # a bounded sample: many small tasks would cost more than its rows
     classes = {r["__y"] for r in train.select("__y").distinct().collect()}
     if classes != {0.0, 1.0}:
@@ -473,11 +480,12 @@ def corrections(vocabulary: DataFrame) -> DataFrame:
     pairs = checkpointed(met.mapInPandas(features, schema).withColumn("s_count", F.least(F.log1p("n"), F.lit(8.0))))
     truth = bad.withColumn("right", F.lit(1))
     spoilt = pairs.join(bad.select("seen").distinct(), "seen").join(truth, ["seen", "meant"], "left")
-    alone = spoilt.filter(F.col("s_rule") == 1).withColumn("s_count", F.lit(0.0))  # as if the right word stood nowhere else
+    # a candidate by rule stands twice: also as if the right word stood nowhere else
+    spoilt = spoilt.withColumn("s_count", F.explode(F.when(F.col("s_rule") == 1, F.array("s_count", F.lit(0.0))).otherwise(F.array("s_count"))))
     rests = pairs.join(learn.select(F.col("word").alias("seen"), F.col("n").alias("times")), "seen").filter(F.col("n") < FREQUENT * F.col("times"))
     codes = pairs.filter(F.col("s_rule") == 1).join(heard.filter(F.col("times") >= SURE), "seen").filter(F.col("n") < F.col("times"))
     intact = rests.unionByName(codes).drop("times").withColumn("right", F.lit(0))
-    fit_on = spoilt.unionByName(alone).unionByName(intact)
+    fit_on = spoilt.unionByName(intact)
     rarer = ((F.col("times") < SURE) & (F.col("n") >= F.greatest(F.lit(SURE), 2 * F.col("times")))) | (F.col("n") >= FREQUENT * F.col("times")) | (F.col("s_rule") == 1)
     real = pairs.join(heard, "seen").filter(rarer).drop("times")
     judged = _fitted(real, SPELL_FEATURES, F.coalesce(F.col("right"), F.lit(0)), "p_right", _trees(), "seen", fit_on=fit_on)
@@ -490,9 +498,11 @@ def whole_words(broken: DataFrame, vocabulary: DataFrame) -> DataFrame:
     counts = vocabulary.select("word", F.log1p("n").alias("c"))
 
     def counted(df: DataFrame) -> DataFrame:
-        for name, word in (("h_joined", F.concat("left", "right")), ("h_kept", F.concat_ws("-", "left", "right")), ("h_left", F.col("left")), ("h_right", F.col("right"))):
-            df = df.withColumn("word", word).join(counts, "word", "left").withColumn(name, F.coalesce("c", F.lit(0.0))).drop("word", "c")
-        return df
+        """Different rows, with the counts of the four forms from one join."""
+        forms = {"h_joined": F.concat("left", "right"), "h_kept": F.concat_ws("-", "left", "right"), "h_left": F.col("left"), "h_right": F.col("right")}
+        each = df.withColumn("form", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), word.alias("word")) for name, word in forms.items()])))
+        met = each.select(*df.columns, "form.*").join(counts, "word", "left")
+        return met.groupBy(*df.columns).agg(*[F.coalesce(F.max(F.when(F.col("name") == name, F.col("c"))), F.lit(0.0)).alias(name) for name in forms])
 
     known = _bounded(vocabulary.filter((F.col("n") >= 2) & (F.length("word") >= 5)), "word")
     hyphened = known.filter(F.col("word").rlike(r"^\p{L}{2,}-\p{L}{2,}$")).select(F.substring_index("word", "-", 1).alias("left"), F.substring_index("word", "-", -1).alias("right"), F.lit(1).alias("kept"))

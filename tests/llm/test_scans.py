@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,34 @@ def test_candidates_are_within_reach_and_complete(spark):
 def test_empty_table(spark, scanned):
     assert S.found(scanned.limit(0)).count() == 0
     assert S.found(scanned.filter(F.col("markdown").isNull())).count() == 0
+
+
+def test_forms_of_broken_words_are_counted_by_one_join(spark, monkeypatch):
+    seen = {}
+
+    def fitted(df, features, label, name, *rest, fit_on):
+        seen.update(judged=df, fit_on=fit_on)
+        return df.withColumn(name, F.lit(1.0))
+
+    monkeypatch.setattr(S, "_fitted", fitted)
+    vocabulary = spark.createDataFrame([("e-mail", 3), ("garten", 5), ("gar", 2), ("ten", 1)], "word string, n bigint")
+    broken = spark.createDataFrame([("e", "mail"), ("gar", "ten"), ("x", "y"), ("gar", "ten")], "left string, right string")
+    whole = {(r["left"], r["right"], r["whole"]) for r in S.whole_words(broken, vocabulary).collect()}
+    assert whole == {("e", "mail", "e-mail"), ("gar", "ten", "garten"), ("x", "y", "xy")}
+    got = {(r["left"], *(round(np.expm1(r[c])) for c in ("h_joined", "h_kept", "h_left", "h_right"))) for r in seen["judged"].collect()}
+    assert got == {("e", 0, 3, 0, 0), ("gar", 5, 0, 2, 1), ("x", 0, 0, 0, 0)}
+    for df in seen.values():
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_what_a_classifier_is_fitted_on_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = spark.range(200).selectExpr("cast(id as double) AS x", "cast(id % 2 as int) AS y", "cast(id as string) AS k")
+    S._fitted(rows, ["x"], F.col("y") == 1, "p", S._trees(1), "k", fit_on=rows.mapInPandas(run, rows.schema))
+    assert made.value == 200
